@@ -187,7 +187,7 @@ def _fit_sql(tag: str, known: str, horizon: str) -> str:
   select series_key, t, w, lag(w) over (partition by series_key order by t) as x from w{d}_{tag}
 ), f{d}_{tag} as (
   select series_key, cast(count(x) as double) as m, cast(sum(x) as double) as sx, cast(sum(w) filter (x is not null) as double) as st,
-         cast(sum(x * x) as double) as sxx, cast(sum(x * w) as double) as sxt, cast(max_by(w, t) as double) as last_w
+         cast(sum(cast(x as decimal(30,2)) * x) as double) as sxx, cast(sum(cast(x as decimal(30,2)) * w) as double) as sxt, cast(max_by(w, t) as double) as last_w
   from p{d}_{tag} group by series_key
 ), s{d}_{tag} as (
   select *, greatest(-{fc.PHI_LIMIT}e0, least({fc.PHI_LIMIT}e0,
