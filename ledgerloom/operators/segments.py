@@ -87,16 +87,16 @@ def segment_profile(sales: DataFrame) -> DataFrame:
     measures["sales"] = F.col("sales") if "sales" in sales.columns else F.col("unit_price")
     found = exact_quantiles(stringify_keys(sales), SEGMENT_KEYS, measures, (0.25, 0.5, 0.75))
 
-    def pick(measure: str, p: float):
-        return F.max(F.when((F.col("measure") == measure) & (F.col("p") == p), F.col("value")))
+    def pick(measure: str, at: int):
+        return F.max(F.when(F.col("measure") == measure, F.col("q")[at]))
 
     wide = found.groupBy(*SEGMENT_KEYS).agg(
         *[
-            pick(measure, p).alias(f"{measure}_{name}")
+            pick(measure, at).alias(f"{measure}_{name}")
             for measure in ("price", "disc", "qty")
-            for name, p in (("med", 0.5), ("q1", 0.25), ("q3", 0.75))
+            for name, at in (("med", 1), ("q1", 0), ("q3", 2))
         ],
-        pick("sales", 0.5).alias("sales_med"),
+        pick("sales", 1).alias("sales_med"),
     )
     return wide.withColumns({f"{m}_scale": iqr_scale(f"{m}_q1", f"{m}_q3") for m in ("price", "disc", "qty")})
 
@@ -128,7 +128,7 @@ def subcategories_of(sales: DataFrame, category: str | None = None) -> DataFrame
 def median_margin_by_category(sales: DataFrame) -> DataFrame:
     margin = F.try_divide(F.col("profit").cast("double"), F.col("sales").cast("double"))
     found = exact_quantiles(with_keys(positive_sales(sales), ["category"]), ["category"], {"margin": margin}, (0.5,))
-    return found.select("category", F.col("value").alias("median_margin"))
+    return found.select("category", F.col("q")[0].alias("median_margin"))
 
 
 def latest_period(sales: DataFrame) -> DataFrame:

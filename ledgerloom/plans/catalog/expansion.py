@@ -10,7 +10,7 @@ from ledgerloom.functions.scalars import fixed4
 from ledgerloom.operators import segments as sg
 from ledgerloom.operators.sampling import cumulative_weights, weighted_pick as pick
 from ledgerloom.plans import expand as ex
-from ledgerloom.plans.catalog.inputs import sales_table, sql_fixed4, sql_uniform, sql_uniform_int, with_sales
+from ledgerloom.plans.catalog.inputs import sales_table, stored_sales, sql_fixed4, sql_uniform, sql_uniform_int, with_sales
 from ledgerloom.plans.catalog.segments import PROFILE_SQL
 from ledgerloom.session import materialise
 
@@ -20,13 +20,13 @@ _SEG = "category, sub_category, region"
 
 def _draws(spark, folder):
     """(sales, as many new ids as the table has rows)."""
-    sales = sales_table(spark, folder)
+    sales = stored_sales(spark, folder)
     start = sg.next_order_id(sales).first()["next_order_id"]
     return sales, ex.assign_ids(spark, start, sales.count())
 
 
 def _expanded(spark, folder):
-    sales = sales_table(spark, folder)
+    sales = stored_sales(spark, folder)
     return sales, ex.expand_sales(
         sales, sales.count() * 3 // 2, first_year=YEARS[0], last_year=YEARS[1], sort=False
     )
@@ -145,12 +145,17 @@ def _weights(name: str, columns: str, source: str, by: str = "") -> str:
 
 
 def _pick(name: str, draws: str, dist: str, stream: str, columns: str, by: str = "", row_id: str = "order_id") -> str:
-    """CTE: draws with the value whose weight range their position falls in."""
-    same = "".join(f" and d.{k.strip()} = w.{k.strip()}" for k in by.split(",") if k.strip())
+    """CTEs: draws with the value whose weight range their position falls in."""
+    keys = [k.strip() for k in by.split(",") if k.strip()]
+    totals = f"(select {', '.join([*keys, 'any_value(total) as total'])} from {dist} {'group by ' + by if by else ''})"
+    on = " and ".join(f"d.{k} = s.{k}" for k in keys) or "true"
+    same = "".join(f"a.{k} = w.{k} and " for k in keys)
     taken = ", ".join(f"w.{c.strip()}" for c in columns.split(","))
-    at = f"floor({sql_uniform(stream, 'd.' + row_id)} * cast(w.total as double))"
-    return f"""{name} as (
-  select d.*, {taken} from {draws} d join {dist} w on {at} >= w.lo and {at} < w.hi{same}
+    return f"""{name}_at as (
+  select d.*, cast(floor({sql_uniform(stream, 'd.' + row_id)} * cast(s.total as double)) as bigint) as pos
+  from {draws} d join {totals} s on {on}
+), {name} as (
+  select a.* exclude (pos), {taken} from {name}_at a asof join {dist} w on {same}a.pos >= w.lo
 )"""
 
 

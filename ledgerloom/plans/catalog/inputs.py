@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.draws import uniform_int
 from ledgerloom.operators.cleaning import calendar_features
-from ledgerloom.session import tune
+from ledgerloom.session import materialise, tune
 from ledgerloom.sources.sales import star_sales
 
 SALES_SQL = """sales as (
@@ -44,6 +44,11 @@ def sales_table(spark: SparkSession, folder: str) -> DataFrame:
     return calendar_features(star_sales(tune(spark), folder))
 
 
+def stored_sales(spark: SparkSession, folder: str) -> DataFrame:
+    """The flat table written once, for jobs that pass over it several times."""
+    return materialise(sales_table(spark, folder))
+
+
 def with_sales(*parts: str) -> str:
     """A query text over the sales view: CTEs, then the final select."""
     *ctes, final = parts

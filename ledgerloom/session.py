@@ -63,11 +63,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage in the reliable checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """Compute ``df`` once into a Parquet table in the shared folder and read that.
+
+    Later passes start from the written table: they survive lost executors,
+    read only the columns they need, and the planner knows the table's size.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def size_checked(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

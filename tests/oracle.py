@@ -21,6 +21,9 @@ TABLES = (
 ).split()
 
 
+TIMES: dict[str, list[float]] = {}  # seconds per query: Spark, then the oracle
+
+
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for name in TABLES:
@@ -43,13 +46,17 @@ def rows_of(columns, rows) -> Counter:
 
 def compare(spark, con, folder: str, name: str, query, text: str | None) -> str:
     """'' when equal, else what differs."""
+    begin = time.time()
     df = query(spark, folder)
     got = [tuple(r) for r in df.collect()]
+    TIMES[name] = [time.time() - begin]
     if text is None:
         return "" if got else "no rows"
+    begin = time.time()
     relation = con.execute(text)
     names = [d[0] for d in relation.description]
     want = relation.fetchall()
+    TIMES[name].append(time.time() - begin)
     if sorted(names) != sorted(df.columns):
         return f"columns {sorted(df.columns)} against {sorted(names)}"
     left, right = rows_of(df.columns, got), rows_of(names, want)
@@ -66,10 +73,9 @@ if __name__ == "__main__":
     folder, wanted = sys.argv[1], sys.argv[2:]
     spark, con = local_session(8), connect(folder)
     for name in wanted or QUERIES:
-        begin = time.time()
         try:
             problem = compare(spark, con, folder, name, QUERIES[name], ORACLES.get(name))
         except Exception as e:  # report and go on with the other queries
             problem = f"{type(e).__name__}: {str(e)[:600]}"
         kind = "sql " if name in ORACLES else "rows"
-        print(f"{'FAIL' if problem else 'ok  '} {kind} {time.time() - begin:6.1f}s {name} {problem}", flush=True)
+        print(f"{'FAIL' if problem else 'ok  '} {kind} {' '.join(f'{t:5.1f}s' for t in TIMES.get(name, []))} {name} {problem}", flush=True)
