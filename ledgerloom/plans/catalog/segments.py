@@ -9,7 +9,7 @@ from ledgerloom.operators import segments as sg
 from ledgerloom.operators.cleaning import SERVING_KEYS, TRAINING_KEYS, drop_incomplete
 from ledgerloom.operators.lookup import segment_profile_with_freq as profile_with_freq
 from ledgerloom.operators.sampling import cumulative_weights as weights_of
-from ledgerloom.plans.catalog.inputs import sales_table, sql_fixed4, sql_mean, with_sales
+from ledgerloom.plans.catalog.inputs import sales_table, stored_sales, sql_fixed4, sql_mean, with_sales
 
 
 def _training(spark, folder):
@@ -34,11 +34,11 @@ def _quantised(df):
 
 
 def segment_profile(spark, folder):
-    return _quantised(sg.segment_profile(sales_table(spark, folder)))
+    return _quantised(sg.segment_profile(stored_sales(spark, folder)))
 
 
 def segment_profile_with_freq(spark, folder):
-    sales = sales_table(spark, folder)
+    sales = stored_sales(spark, folder)
     return _quantised(profile_with_freq(sg.segment_profile(sales), sg.segment_frequency(sales)))
 
 
@@ -48,7 +48,7 @@ def segment_frequency(spark, folder):
 
 def value_frequency(spark, folder):
     """Months, years, payment modes overall; cities in regions; products in sub-categories."""
-    sales = sales_table(spark, folder)
+    sales = stored_sales(spark, folder)
     parts = []
     for name, column, by in (
         ("month", "order_month", ()),
@@ -91,7 +91,7 @@ def segment_stats(spark, folder):
 
 
 def median_margin_by_category(spark, folder):
-    return _quantised(sg.median_margin_by_category(sales_table(spark, folder)))
+    return _quantised(sg.median_margin_by_category(stored_sales(spark, folder)))
 
 
 def latest_period(spark, folder):

@@ -110,6 +110,9 @@ def write_sales(df: DataFrame, path: str, fmt: str = "csv") -> None:
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
+# Compressed file bytes up to which a joined dimension is broadcast.
+BROADCAST_BYTES = 8 << 20
+
 # Declared, so that opening a table needs no inference job.
 STAR_SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -128,34 +131,53 @@ STAR_SCHEMAS = {
 }
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rebalance a scan that has fewer splits than the cluster has cores.
 
     A file with a single row group is one task whatever its size; large tables
     have more splits than cores and stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
+def stored_bytes(spark: SparkSession, paths: dict[str, str]) -> dict[str, int]:
+    """File bytes per named path, from the listing alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths.values()))
+    name = F.coalesce(*[F.when(F.contains("path", F.lit(path)), F.lit(key)) for key, path in paths.items()])
+    return {r["name"]: r["bytes"] for r in files.groupBy(name.alias("name")).agg(F.sum("length").alias("bytes")).collect()}
 
 
 def star_sales(spark: SparkSession, folder: str) -> DataFrame:
     """Flat sales rows from the star schema.
 
     Orders meet customers before order lines do, so the wide line table is
-    shuffled once per large join key. No broadcast hint is given: the planner
-    broadcasts a dimension only where its file statistics allow it.
+    shuffled once per large join key. The planner overrates joined dimensions
+    and would rather send the order lines around, so dimensions whose files
+    were found small are marked; larger ones are joined by shuffle.
     """
+    paths = {name: f"{folder}/{name}.parquet" for name in STAR_SCHEMAS}
+    size = stored_bytes(spark, paths)
 
     def table(name: str) -> DataFrame:
-        return spark.read.schema(STAR_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
+        return spark.read.schema(STAR_SCHEMAS[name]).parquet(paths[name])
 
-    places = table("nation").join(table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    buyers = table("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-    headers = table("orders").join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    def dimension(df: DataFrame, *names: str) -> DataFrame:
+        return F.broadcast(df) if sum(size[n] for n in names) <= BROADCAST_BYTES else df
+
+    places = table("nation").join(dimension(table("region"), "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    buyers = table("customer").join(
+        dimension(places, "nation", "region"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    headers = table("orders").join(
+        dimension(buyers, "customer", "nation", "region"), F.col("o_custkey") == F.col("c_custkey")
+    )
     lines = (
-        spread(table("lineitem"))
-        .join(headers, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table("part"), F.col("l_partkey") == F.col("p_partkey"))
+        spread(table("lineitem"), "l_orderkey", "l_partkey")
+        .join(
+            dimension(headers, "orders", "customer", "nation", "region"), F.col("l_orderkey") == F.col("o_orderkey")
+        )
+        .join(dimension(table("part"), "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
     price_cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + F.lit(0.5)).cast("bigint")
     sales = F.col("l_extendedprice").cast("decimal(12,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))
