@@ -141,11 +141,9 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
 
 
-def stored_bytes(spark: SparkSession, paths: dict[str, str]) -> dict[str, int]:
-    """File bytes per named path, from the listing alone."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(paths.values()))
-    name = F.coalesce(*[F.when(F.contains("path", F.lit(path)), F.lit(key)) for key, path in paths.items()])
-    return {r["name"]: r["bytes"] for r in files.groupBy(name.alias("name")).agg(F.sum("length").alias("bytes")).collect()}
+def stored_bytes(scan: DataFrame) -> int:
+    """File bytes behind a plain table scan, as the planner knows them."""
+    return int(str(scan._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def star_sales(spark: SparkSession, folder: str) -> DataFrame:
@@ -156,28 +154,27 @@ def star_sales(spark: SparkSession, folder: str) -> DataFrame:
     and would rather send the order lines around, so dimensions whose files
     were found small are marked; larger ones are joined by shuffle.
     """
-    paths = {name: f"{folder}/{name}.parquet" for name in STAR_SCHEMAS}
-    size = stored_bytes(spark, paths)
-
-    def table(name: str) -> DataFrame:
-        return spark.read.schema(STAR_SCHEMAS[name]).parquet(paths[name])
+    table = {
+        name: spark.read.schema(schema).parquet(f"{folder}/{name}.parquet") for name, schema in STAR_SCHEMAS.items()
+    }
+    size = {name: stored_bytes(scan) for name, scan in table.items()}
 
     def dimension(df: DataFrame, *names: str) -> DataFrame:
         return F.broadcast(df) if sum(size[n] for n in names) <= BROADCAST_BYTES else df
 
-    places = table("nation").join(dimension(table("region"), "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    buyers = table("customer").join(
+    places = table["nation"].join(dimension(table["region"], "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    buyers = table["customer"].join(
         dimension(places, "nation", "region"), F.col("c_nationkey") == F.col("n_nationkey")
     )
-    headers = table("orders").join(
+    headers = table["orders"].join(
         dimension(buyers, "customer", "nation", "region"), F.col("o_custkey") == F.col("c_custkey")
     )
     lines = (
-        spread(table("lineitem"), "l_orderkey", "l_partkey")
+        spread(table["lineitem"], "l_orderkey", "l_partkey")
         .join(
             dimension(headers, "orders", "customer", "nation", "region"), F.col("l_orderkey") == F.col("o_orderkey")
         )
-        .join(dimension(table("part"), "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(dimension(table["part"], "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
     price_cents = F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100 + F.lit(0.5)).cast("bigint")
     sales = F.col("l_extendedprice").cast("decimal(12,2)") * (F.lit(1) - F.col("l_discount").cast("decimal(4,2)"))

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import segments as sg
 from ledgerloom.operators.features import DEMAND, SALES, training_set
+from ledgerloom.operators.lookup import serving_tables
 from ledgerloom.plans import scoring
 from ledgerloom.plans.catalog.scoring import demand_requests, sales_requests
 from ledgerloom.plans.training import fit_model
@@ -10,13 +10,13 @@ from ledgerloom.sources.requests import parse_requests, split_requests, to_respo
 from ledgerloom.streaming.scoring import request_stream, score_request_stream
 
 
-def run(spark, requests, task, model, sales, cells):
+def run(spark, requests, task, model, tables):
     base = scratch_path(spark, "stream-test")
     requests.repartition(3).write.parquet(f"{base}/in")
 
     def once():
         query = score_request_stream(
-            request_stream(spark, f"{base}/in", 1), task, model, sales, cells, f"{base}/out", f"{base}/progress"
+            request_stream(spark, f"{base}/in", 1), task, model, tables, f"{base}/out", f"{base}/progress"
         )
         query.awaitTermination()
         return spark.read.parquet(f"{base}/out/batch=*")
@@ -27,12 +27,12 @@ def run(spark, requests, task, model, sales, cells):
 
 
 def test_demand_stream_equals_batch(spark, sales):
-    cells = sg.demand_cells_serve(sales)
+    tables = serving_tables(sales)
     model = fit_model(training_set(sales, DEMAND), DEMAND, "ridge")
     requests = demand_requests(sales)
-    answered = run(spark, requests, "demand", model, sales, cells)
+    answered = run(spark, requests, "demand", model, tables)
     valid, rejected = split_requests(parse_requests(requests, "demand"))
-    batch = to_response(scoring.predict_demand(valid.drop("payload"), cells, sales, model), "demand").select("request_id", "response")
+    batch = to_response(scoring.predict_demand(valid.drop("payload"), tables, model), "demand").select("request_id", "response")
     good = answered.where("error is null").select("request_id", "response")
     assert answered.count() == sales.count() and answered.where("error is not null").count() == rejected.count()
     assert good.exceptAll(batch).count() == 0 and good.count() == batch.count()
@@ -41,7 +41,7 @@ def test_demand_stream_equals_batch(spark, sales):
 
 def test_sales_stream(spark, sales):
     model = fit_model(training_set(sales, SALES), SALES, "ridge")
-    answered = run(spark, sales_requests(sales), "sales", model, sales, None)
+    answered = run(spark, sales_requests(sales), "sales", model, serving_tables(sales))
     assert answered.count() == sales.count()
     good = answered.where("error is null")
     assert good.where(F.get_json_object("response", "$.predicted_sales").isNull()).count() == 0
