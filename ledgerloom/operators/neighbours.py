@@ -125,7 +125,7 @@ def knn_join(
     *,
     key: str = "row_key",
     label: str = "label",
-    chunk_rows: int = 4096,
+    chunk_rows: int = 1024,
     max_boxes: int = 4096,
 ) -> DataFrame:
     """Rows (key, place, ref_key, distance_sq, label): the ``k`` nearest references per probe.
@@ -166,25 +166,24 @@ def knn_join(
     by = ["box", "ref_chunk", "probe_chunk"]
 
     def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        parts = [
-            pd.DataFrame(
-                {
-                    "probe_key": mine["probe_key"].iat[at],
-                    "ref_key": ordered["ref_key"].to_numpy()[near],
-                    "distance_sq": d,
-                    "label": ordered["label"].to_numpy()[near],
-                }
-            )
-            for at, near, d, ordered in _nearest(mine, theirs, k, cats, nums, mine["radius_sq"].to_numpy(float))
-            if len(near)
-        ]
-        if not parts:
+        found = list(_nearest(mine, theirs, k, cats, nums, mine["radius_sq"].to_numpy(float)))
+        if not found:
             return pd.DataFrame({"probe_key": [], "ref_key": [], "distance_sq": [], "label": []})
-        return pd.concat(parts, ignore_index=True)
+        ordered = found[0][3]
+        near = np.concatenate([f[1] for f in found])
+        return pd.DataFrame(
+            {
+                "probe_key": np.repeat(mine["probe_key"].to_numpy(), [len(f[1]) for f in found]),
+                "ref_key": ordered["ref_key"].to_numpy()[near],
+                "distance_sq": np.concatenate([f[2] for f in found]),
+                "label": ordered["label"].to_numpy()[near],
+            }
+        )
 
     candidates = (
-        left.groupBy(*by)
-        .cogroup(right.groupBy(*by))
+        _dealt(left, by)
+        .groupBy(*by)
+        .cogroup(_dealt(right, by).groupBy(*by))
         .applyInPandas(meet, "probe_key string, ref_key string, distance_sq double, label double")
     )
     nearest = W.partitionBy("probe_key").orderBy("distance_sq", "ref_key")
@@ -203,6 +202,14 @@ def _with_known(probes: DataFrame, refs: DataFrame, cats) -> DataFrame:
     return probes
 
 
+def _dealt(df: DataFrame, by) -> DataFrame:
+    """Spread chunks over all cores: few bytes here are much arithmetic, so the
+    partitions must not be merged by size."""
+    spark = df.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(partitions, *by)
+
+
 def _located(df: DataFrame, boxes: Boxes, nums) -> DataFrame:
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -254,8 +261,9 @@ def _visits(probes: DataFrame, first: DataFrame, boxes: Boxes, k: int, cats, num
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in probes.schema.fields if f.name != "box")
     by = ["box", "probe_chunk"]
     found = (
-        mine.groupBy(*by)
-        .cogroup(theirs.groupBy(*by))
+        _dealt(mine, by)
+        .groupBy(*by)
+        .cogroup(_dealt(theirs, by).groupBy(*by))
         .applyInPandas(bound, f"{fields}, radius_sq double, boxes array<int>")
     )
     return found.withColumn("box", F.explode("boxes")).drop("boxes")
