@@ -209,8 +209,10 @@ def _label_summary(train: DataFrame) -> tuple[int, float]:
 
 
 def _fit_linear(train: DataFrame, profile: Profile, reg: float, mix: float) -> SparkModel:
+    # Scaling changes nothing without a penalty, but a full one-hot block is
+    # rank deficient and the solver needs the better conditioning.
     model = LinearRegression(
-        regParam=reg, elasticNetParam=mix, standardization=False, maxIter=profile.max_iter, tol=1e-8
+        regParam=reg, elasticNetParam=mix, standardization=reg == 0.0, maxIter=profile.max_iter, tol=1e-8
     )
     return SparkModel(Pipeline(stages=[model]).fit(train))
 

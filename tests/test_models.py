@@ -50,6 +50,15 @@ def test_penalised_models_solve_the_library_problem(regression, name, flat, squa
     np.testing.assert_allclose(model.coefficients.toArray(), descent(x, y, flat, square), atol=2e-4)
 
 
+def test_linear_equals_least_squares_on_full_one_hot(cells):
+    model = tr.fit_model(cells, ft.DEMAND, "linear")
+    ready = tr._vectors(model.prepared, cells, ft.DEMAND)
+    rows = model.core.predict(ready).select(vector_to_array("features").alias("x"), "label", "prediction").collect()
+    x = np.column_stack([np.ones(len(rows)), np.array([r.x for r in rows])])
+    best = x @ np.linalg.lstsq(x, np.array([r.label for r in rows]), rcond=None)[0]
+    np.testing.assert_allclose([r.prediction for r in rows], best, atol=1e-3)
+
+
 def test_unseen_category_is_all_zeros(spark):
     known = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "c string, x double")
     asked = spark.createDataFrame([("a", 5.0), ("z", 6.0)], "c string, x double")
