@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import decontaminate, jaccard, oracles, outliers
+from ledgerloom.llm import bpe, decontaminate, jaccard, oracles, outliers, secrets
 from ledgerloom.llm.common import table
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.secrets(table(spark, sf_dir, "documents")))
+
+
 def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_digests(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard.classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "class_id", "is_kept", "n_copies", "n_links")
@@ -23,7 +31,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op3_robust_outliers": op3_robust_outliers,
+    "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
