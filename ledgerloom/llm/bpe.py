@@ -4,8 +4,9 @@ A text is cut into pre-tokens, and each pre-token's bytes start as one symbol
 each. The leaves of a segment tree hold the merge rank of every symbol and its
 right neighbour; the root therefore names the leftmost merge of the lowest
 rank. A merge changes three leaves at most, each updated up to the root, so a
-pre-token of n bytes takes O(n log n) steps however long it is. Distinct
-pre-tokens are encoded once per worker and kept in a bounded cache.
+pre-token of n bytes takes O(n log n) steps however long it is. Pre-tokens are
+found for many texts at once, and distinct ones are encoded once per slice of
+texts, or once per worker while a bounded cache holds them.
 
 Ids equal those of the tokenizers library with added special tokens off. A
 special token's string inside a text is its own id, as in the library. Null
@@ -23,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import textvec as tv
 from ledgerloom.llm.common import typed
 
-CACHED = 300_000
+CACHED = 1_000_000  # distinct pre-tokens a worker remembers, by 64-bit hash
 _NONE = 1 << 80
 
 
@@ -43,12 +45,69 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+_LETTER, _NUMBER, _OTHER, _SPACE, _BORDER = range(5)
+
+
+@lru_cache(maxsize=1)
+def _classes() -> np.ndarray:
+    """The class of every code point, as the pre-token pattern sees it."""
+    import regex
+
+    table = np.full(0x110000, _OTHER, np.uint8)
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    # White space as Unicode has it: without the separators 0x1C to 0x1F.
+    space = regex.compile(r"[\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]")
+    for pattern, kind in ((regex.compile(r"\p{L}"), _LETTER), (regex.compile(r"\p{N}"), _NUMBER), (space, _SPACE)):
+        table[np.frombuffer("".join(pattern.findall(every)).encode("utf-32-le"), "<u4")] = kind
+    return table
+
+
+def pre_token_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """First bytes of all pre-tokens of the texts of one slice.
+
+    The pattern is: a contraction ('s 't 're 've 'm 'll 'd); letters, digits or
+    other signs with one space before them; white space up to the last one
+    before a word; white space.
+    """
+    if not len(data):
+        return np.zeros(0, np.int64)
+    heads = np.flatnonzero((data & 0xC0) != 0x80)
+    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
+    kind = _classes()[points]
+    n = len(kind)
+    border = np.zeros(n + 1, bool)
+    border[np.searchsorted(heads, offsets)] = True
+    before = np.full(n, _BORDER, np.uint8)
+    before[1:] = np.where(border[1:n], _BORDER, kind[:-1])
+    after = np.full(n, _BORDER, np.uint8)
+    after[:-1] = np.where(border[1:n], _BORDER, kind[1:])
+    space = kind == _SPACE
+    # A word starts at its space, if that is a plain one.
+    led = np.zeros(n, bool)
+    led[1:] = (before[1:] == _SPACE) & (points[:-1] == 0x20)
+    start = before == _BORDER
+    start |= ~space & (before != kind) & ~led
+    start |= space & ((before != _SPACE) | (after < _SPACE))
+    # Contractions: the sign keeps its letters, the letters behind them start anew.
+    sign = np.flatnonzero(start & (points == 0x27) & (after == _LETTER))
+    if len(sign):
+        padded = np.concatenate([points, np.zeros(3, points.dtype)])
+        one, two = padded[sign + 1], padded[sign + 2]
+        near = ~border[np.minimum(sign + 2, n)]
+        single = np.isin(one, [ord(c) for c in "stmd"])
+        double = near & np.logical_or.reduce([(one == ord(a)) & (two == ord(b)) for a, b in ("re", "ve", "ll")])
+        for found, size in ((sign[single], 2), (sign[double], 3)):
+            start[found + 1] = False
+            behind = found + size
+            behind = behind[behind < n]
+            start[behind[kind[behind] != _SPACE]] = True
+    return heads[start]
+
+
 class Vocabulary:
     """Merges, ids and bytes of one byte-level BPE file."""
 
     def __init__(self, path: str):
-        import regex
-
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
@@ -70,12 +129,7 @@ class Vocabulary:
         for rank, merge in enumerate(merges):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             self.merges[vocab[left], vocab[right]] = rank << 20 | vocab[left + right]
-        # White space as Unicode has it: without the separators 0x1C to 0x1F.
-        space = r"\t-\r\x20\x85\xA0  -     　"
-        self.pre_tokens = regex.compile(
-            rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{space}\p{{L}}\p{{N}}]+|[{space}]+(?![^{space}])|[{space}]+"
-        ).findall
-        self.cache: dict[str, bytes] = {}
+        self._forget()
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -131,29 +185,82 @@ class Vocabulary:
                     i >>= 1
         return [i for i in ids if i >= 0]
 
-    def _fresh(self, word: str) -> bytes:
-        ids = np.array(self.merge(word.encode()), "<u4").tobytes()
-        if len(self.cache) >= CACHED:
-            self.cache.clear()
-        if len(word) <= 64:
-            self.cache[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a text as little-endian uint32."""
-        parts = []
-        known, fresh = self.cache.get, self._fresh
-        for piece in self.splitter.split(text) if self.splitter else (text,):
+    def fresh(self, words: list[bytes]) -> list[np.ndarray]:
+        """Ids of pre-tokens that are not in the cache."""
+        return [np.array(self.merge(w), "<u4") for w in words]
+
+    def _forget(self) -> None:
+        """Empty the cache: sorted hashes of pre-tokens, and where their ids are in one pool."""
+        self.keys = np.zeros(0, np.uint64)
+        self.at = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def known(self, hashes: np.ndarray, word) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of ids in the pool for sorted distinct hashes; ``word(i)`` is a pre-token's bytes."""
+        place = np.searchsorted(self.keys, hashes)
+        there = np.zeros(len(hashes), bool)
+        inside = place < len(self.keys)
+        there[inside] = self.keys[place[inside]] == hashes[inside]
+        lost = np.flatnonzero(~there)
+        if len(self.keys) + len(lost) > CACHED and len(self.keys):
+            self._forget()
+            return self.known(hashes, word)
+        if len(lost):
+            ids = self.fresh([word(i) for i in lost.tolist()])
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            at = len(self.pool) + np.cumsum(size) - size
+            self.pool = np.concatenate([self.pool, *ids]).astype(np.uint32)
+            into = place[lost]
+            self.keys = np.insert(self.keys, into, hashes[lost])
+            self.at = np.insert(self.at, into, at)
+            self.size = np.insert(self.size, into, size)
+            place = np.searchsorted(self.keys, hashes)
+        return self.at[place], self.size[place]
+
+    def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a slice, and the first id's number per text."""
+        starts = pre_token_starts(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        ends = np.concatenate([starts[1:], [len(data)]])
+        hashes = tv.SpanHashes(data).of(starts, ends)
+        distinct, head, which = np.unique(hashes, return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        first, last = starts[head], ends[head]
+        at, sizes = self.known(distinct, lambda i: raw[first[i] : last[i]])
+        each = sizes[which]
+        before = np.concatenate([[0], np.cumsum(each)])
+        out = self.pool[np.repeat(at[which] - before[:-1], each) + np.arange(before[-1])]
+        return out, before[np.searchsorted(starts, offsets)]
+
+    def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a column."""
+        out: list[np.ndarray] = []
+        for _, data, offsets in tv.text_slices(texts):
+            raw = data.tobytes()
+            if any(s.encode() in raw for s in self.special):
+                out += [self.encode_one(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            else:
+                ids, first = self.encode_slice(data, offsets)
+                out += np.split(ids, first[1:-1])
+        return out
+
+    def encode_one(self, raw: bytes) -> np.ndarray:
+        """Ids of one text that may hold special tokens."""
+        parts = [np.zeros(0, np.uint32)]
+        for piece in self.splitter.split(raw.decode()) if self.splitter else (raw.decode(),):
             if piece in self.special:
-                parts.append(np.array([self.special[piece]], "<u4").tobytes())
+                parts.append(np.array([self.special[piece]], np.uint32))
             elif piece:
-                parts += [known(word) or fresh(word) for word in self.pre_tokens(piece)]
-        return b"".join(parts)
+                data = np.frombuffer(piece.encode(), np.uint8)
+                parts.append(self.encode_slice(data, np.array([0, len(data)]))[0])
+        return np.concatenate(parts).astype(np.uint32)
 
     def decode(self, ids: bytes) -> str:
         """Text of little-endian uint32 ids; bytes that are no UTF-8 are replaced."""
         of = self.bytes
-        return b"".join([of[i] for i in memoryview(ids).cast("I")]).decode("utf-8", "replace")
+        return b"".join([of[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
 
 
 @lru_cache(maxsize=2)
@@ -170,7 +277,7 @@ def round_trip(text: Column, path: str | None = None) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         v = vocabulary(path)
-        ids = [v.encode(t or "") for t in texts.to_pylist()]
+        ids = [i.tobytes() for i in v.encode_all(texts)]
         return pa.StructArray.from_arrays(
             [pa.array(ids, pa.binary()), pa.array([v.decode(i) for i in ids], pa.string())], ["ids", "decoded"]
         )
@@ -184,7 +291,7 @@ def encode(text: Column, path: str | None = None) -> Column:
 
     def run(texts: pa.Array) -> pa.Array:
         v = vocabulary(path)
-        return pa.array([v.encode(t or "") for t in texts.to_pylist()], pa.binary())
+        return pa.array([i.tobytes() for i in v.encode_all(texts)], pa.binary())
 
     return F.arrow_udf(run, "binary")(text.cast("string"))
 
