@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, jaccard, oracles, outliers, secrets, suffixes
+from ledgerloom.llm import bpe, decontaminate, jaccard, oracles, outliers, repair, secrets, suffixes
 from ledgerloom.llm.common import table
+from ledgerloom.session import scratch_path
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +23,12 @@ def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality(table(spark, sf_dir, "documents"))
 
 
+def op5_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    repair.write_ids(table(spark, sf_dir, "documents"), path)
+    return repair.read_digests(spark, path)
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -40,6 +47,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_robust_outliers": op3_robust_outliers,
+    "op5_repair_ids": op5_repair_ids,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
