@@ -62,3 +62,18 @@ select d.doc_id, coalesce(root, d.doc_id) as class_id, coalesce(root, d.doc_id)
 from d left join seq using (doc_id) left join node on node.s = seq.s
 left join root on root.node = node.node left join degree on degree.node = node.node
 """
+
+CHAT_SQL = r"""
+with rows_ as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -1, 0, 'user', '</s>[INST] ok [/INST]'
+  union all select -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+numbered as (select *, row_number() over (partition by conv_id order by turn, role, text) as k from rows_)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(coalesce(string_agg(case when role = 'assistant' then text end, '' order by k), '')) as loss_sha256,
+       cast(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) as bigint) as formatted_chars
+from numbered group by conv_id
+"""

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, decontaminate, jaccard, oracles, outliers, repair, secrets, suffixes
-from ledgerloom.llm.common import table
-from ledgerloom.session import scratch_path
+from ledgerloom.llm import bpe, chat, decontaminate, jaccard, oracles, outliers, repair, secrets, sites, suffixes, tagpaths
+from ledgerloom.llm.common import table, typed
+from ledgerloom.session import materialise, scratch_path
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,12 +23,30 @@ def op3_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_site_posteriors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sites.posteriors(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_repair_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-ids")
     repair.write_ids(table(spark, sf_dir, "documents"), path)
     return repair.read_digests(spark, path)
 
 
+CONTROL = """select * from values
+    (-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]') as t(conv_id, turn, role, text)"""
+
+
+def op6_chat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"}
+    turns = typed(table(spark, sf_dir, "conversations"), **kinds).union(typed(spark.sql(CONTROL), **kinds))
+    return chat.digests(materialise(chat.render(chat.messages(chat.event_log(turns)))))
+
+
+def op7_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpaths.articles(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -47,12 +65,16 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_robust_outliers": op3_robust_outliers,
+    "op4_site_posteriors": op4_site_posteriors,
     "op5_repair_ids": op5_repair_ids,
+    "op6_chat_events": op6_chat_events,
+    "op7_tag_paths": op7_tag_paths,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
 ORACLES = {
+    "op6_chat_events": oracles.CHAT_SQL,
     "op9_jaccard_join": oracles.JACCARD_SQL,
     "op10_decontamination": oracles.DECONTAMINATION_SQL,
 }
