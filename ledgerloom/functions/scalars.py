@@ -14,7 +14,11 @@ NA_TOKENS = (
     "nan", "null",
 )
 
-DATE_FORMATS = ("yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "yyyy-M-d H:m:s")
+# Tried in this order; numeric dates with the day first need a format of their own.
+DATE_FORMATS = (
+    "yyyy-M-d", "yyyy/M/d", "M/d/yyyy", "yyyy-M-d H:m[:s[.SSSSSSSSS]]", "yyyy-M-d'T'H:m[:s[.SSSSSSSSS]][XXX]",
+    "yyyy/M/d H:m[:s]", "M/d/yyyy H:m[:s]", "MMM d, yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "yyyyMMdd",
+)
 
 _DECIMAL_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"

@@ -8,12 +8,13 @@ a chunk at a time, and the pair is dropped as soon as the posterior probability
 (uniform prior) that its similarity reaches the threshold falls below
 ``TOLERANCE``. What is left is verified exactly on the shingle sets.
 
-No bucket's pairs are all listed. In each round a bucket offers a few pivots,
-each pivot meets the whole bucket, and members found similar join one class.
-A pivot has then met every member and leaves its bucket for good; a bucket
-whose members are all of one class is done. So links inside a class already
-known are not sought again, every pair of different classes that share a bucket
-is compared, and buckets of up to ``DIRECT`` members are finished at once.
+Large buckets never list their pairs. First two of their members, the pivots,
+meet all others, and members found similar join one class. Then only buckets
+that still hold several classes are compared, in tiles of ``BLOCK`` by
+``BLOCK`` members: the values of both blocks meet in one task, and only pairs of
+different classes that survive the pruning leave it. So every pair of different
+texts that share a bucket is either of one class already or compared. Buckets
+of up to ``DIRECT`` members are finished at once.
 
 The chance that two texts at the threshold share no band is
 (1 - 0.8**4)**32 = 5e-8; it is smaller above it.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textvec as tv
-from ledgerloom.llm.common import text_key, typed
+from ledgerloom.llm.common import hinted, text_key, typed
 from ledgerloom.llm.components import components
 from ledgerloom.session import materialise
 
@@ -43,9 +44,8 @@ HASHES = 128
 BAND = 4
 CHUNK = 16
 TOLERANCE = 1e-6
-DIRECT = 24
+DIRECT = 8
 BLOCK = 256
-PIVOTS = 2
 
 _MULTIPLIERS = tv.mix(np.arange(1000, 1000 + HASHES, dtype=np.uint64)) | np.uint64(1)
 
@@ -146,14 +146,10 @@ def promising(left: pa.Array, right: pa.Array) -> pa.Array:
 
 
 def similar(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Whether the exact Jaccard similarity of two texts reaches the threshold."""
-    def sets(texts: pa.Array):
-        for _, _, shingles, starts in _shingles(texts):
-            for i in range(len(starts) - 1):
-                yield np.unique(shingles[starts[i] : starts[i + 1]])
-
+    """Whether the exact Jaccard similarity of two shingle sets reaches the threshold."""
     out = []
-    for a, b in zip(sets(left), sets(right), strict=True):
+    for x, y in zip(left.to_pylist(), right.to_pylist(), strict=True):
+        a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
         common = len(np.intersect1d(a, b, assume_unique=True))
         union = len(a) + len(b) - common
         out.append(bool(union) and common >= THRESHOLD * union - 1e-9)
@@ -161,19 +157,19 @@ def similar(left: pa.Array, right: pa.Array) -> pa.Array:
 
 
 def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(copies, reps): every row with its node, and one row with text per node.
+    """(copies, nodes): every row with its node, and per node its head, copies and signature.
 
     copies: doc_id, text_key, n_rows, node (null without words). A node is a
     64-bit number drawn from the 128-bit key of the word sequence.
     """
     plain = typed(docs, doc_id="bigint", text="string").withColumn("text_key", text_key(F.col("text")))
-    keyed = plain.withColumn("seq", F.arrow_udf(sequence_keys, "binary")("text"))
-    copies = materialise(keyed.groupBy("doc_id", "text_key", "seq").agg(F.count("*").alias("n_rows")))
-    heads = (
-        copies.filter("seq is not null")
-        .groupBy("seq")
-        .agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.sum("n_rows").alias("n_copies"))
-        .select("seq", "head", "n_copies")
+    keyed = plain.select(
+        "doc_id", "text_key", F.arrow_udf(sequence_keys, "binary")("text").alias("seq"),
+        F.arrow_udf(signatures, "binary")("text").alias("sig"),
+    )
+    copies = materialise(keyed.groupBy("doc_id", "text_key", "seq").agg(F.count("*").alias("n_rows"), F.max("sig").alias("sig")))
+    heads = copies.filter("seq is not null").groupBy("seq").agg(
+        F.min(F.struct("doc_id", "text_key")).alias("head"), F.sum("n_rows").alias("n_copies"), F.max("sig").alias("sig")
     )
     nodes = materialise(heads.withColumn("node", F.xxhash64("seq")))
     clash = nodes.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
@@ -184,81 +180,84 @@ def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of each representative."""
+    """node, text of each representative; few of them are looked up without a shuffle of the texts."""
     plain = typed(docs, doc_id="bigint", text="string").withColumn("text_key", text_key(F.col("text")))
-    heads = nodes.select("node", F.col("head.doc_id").alias("h_id"), F.col("head.text_key").alias("h_key"))
+    heads = hinted(nodes.select("node", F.col("head.doc_id").alias("h_id"), F.col("head.text_key").alias("h_key")))
     same = F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_key") == F.col("h_key"))
-    return plain.join(heads, same).select("node", "text")
-
-
-def _open_buckets(members: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Members of buckets that still hold two classes: bucket, node, label, size."""
-    rows = members.select("bucket", "node")
-    if labels is not None:
-        rows = rows.join(labels.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    else:
-        rows = rows.withColumn("label", F.col("node"))
-    rows = materialise(rows)
-    buckets = rows.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")
-    ).filter("lo <> hi").select("bucket", "size")
-    return rows.join(buckets, "bucket")
+    return plain.join(heads, same).select("node", "text").dropDuplicates(["node"])
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs a, b whose exact similarity reaches the threshold, written once."""
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = _texts(docs, nodes.join(wanted, "node", "left_semi"))
+    sets = materialise(texts.select("node", F.arrow_udf(shingle_sets, "binary")("text").alias("s")))
+    left, right = (sets.select(F.col("node").alias(c), F.col("s").alias(f"set_{c}")) for c in "ab")
+    met = pairs.join(left, "a").join(right, "b")
+    return materialise(met.filter(F.arrow_udf(similar, "boolean")("set_a", "set_b")).select("a", "b"))
+
+
+def tile_survivors(tile: pa.Table) -> pa.Table:
+    """a, b: pairs of different classes, one from each block, that the comparison does not drop."""
+    i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
+    block = np.array(tile["block"].to_pylist())
+    node, label = (np.array(tile[c].to_pylist(), np.int64) for c in ("node", "label"))
+    values = _matrix(tile["sig"].combine_chunks())
+    left = np.flatnonzero(block == i)
+    right = left if i == j else np.flatnonzero(block == j)
+    pairs = label[left][:, None] != label[right][None, :]
+    if i == j:
+        pairs &= node[left][:, None] < node[right][None, :]
+    a, b = np.nonzero(pairs)
+    a, b = left[a], right[b]
+    matches = np.zeros(len(a), np.int64)
+    for step, least in enumerate(_LEAST):
+        cut = slice(step * CHUNK, (step + 1) * CHUNK)
+        matches += (values[a, cut] == values[b, cut]).sum(axis=1)
+        stay = matches >= least
+        a, b, matches = a[stay], b[stay], matches[stay]
+    return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, labels): verified links a, b between nodes, and node, root of their classes."""
-    spark = docs.sparkSession
-    texts = _texts(docs, nodes)
-    signed = materialise(texts.select("node", F.arrow_udf(signatures, "binary")("text").alias("sig")))
+    signed = nodes.select("node", "sig")
     members = signed.select("node", F.explode(F.arrow_udf(band_keys, "array<bigint>")("sig")).alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    members = materialise(members.join(sizes, "bucket").select("bucket", "node"))
-    links, labels, asked = None, None, None
-    pivots = PIVOTS
-    for round_ in range(10_000):
-        rows = materialise(_open_buckets(members, labels))
-        if rows.isEmpty():
-            break
-        # Small buckets offer all members as pivots, large ones a few chosen by hash.
-        lead = F.col("size") <= DIRECT
-        some = rows.filter(~lead).groupBy("bucket").agg(
-            F.slice(F.array_sort(F.collect_set(F.when(
-                F.pmod(F.xxhash64("node", F.lit(round_)), F.greatest(F.lit(1), F.floor(F.col("size") / (4 * pivots)))) == 0,
-                F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "label"),
-            ))), 1, pivots).alias("p"),
-            F.min(F.struct(F.xxhash64("node", F.lit(round_)).alias("h"), "node", "label")).alias("least"),
-        ).select("bucket", F.explode(F.when(F.size("p") > 0, F.col("p")).otherwise(F.array("least"))).alias("p"))
-        chosen = materialise(
-            some.select("bucket", F.col("p.node").alias("pivot"), F.col("p.label").alias("pivot_label"))
-            .union(rows.filter(lead).select("bucket", "node", "label"))
-        )
-        pairs = rows.join(chosen, "bucket").filter("label <> pivot_label").select(
-            F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")
-        ).distinct()
-        if asked is not None:
-            pairs = pairs.join(asked, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        left, right = (signed.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-        alive = pairs.join(left, "a").join(right, "b").filter(F.arrow_udf(promising, "boolean")("sig_a", "sig_b"))
-        alive = materialise(alive.select("a", "b"))
-        wanted = alive.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        stored = materialise(_texts(docs, nodes.join(wanted, "node", "left_semi")))
-        ta, tb = (stored.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in "ab")
-        found = materialise(
-            alive.join(ta, "a").join(tb, "b").filter(F.arrow_udf(similar, "boolean")("text_a", "text_b")).select("a", "b")
-        )
-        links = found if links is None else materialise(links.union(found))
-        asked = pairs if asked is None else asked.union(pairs)
-        labels = components(links)
-        spent = chosen.select("bucket", F.col("pivot").alias("node"))
-        members = materialise(rows.filter(~lead).select("bucket", "node").join(spent, ["bucket", "node"], "left_anti"))
-        pivots *= 2
-    else:
-        raise RuntimeError("buckets were not finished")
-    if links is None:
-        empty = spark.createDataFrame([], "a bigint, b bigint")
-        return empty, spark.createDataFrame([], "node bigint, root bigint")
-    return links, labels
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
+    members = materialise(members.join(sizes, "bucket"))
+    few, many = members.filter(F.col("size") <= DIRECT), members.filter(F.col("size") > DIRECT)
+
+    # Small buckets: their pairs. Large ones: a few pivots against all members.
+    chosen = many.select("bucket", "node", F.xxhash64("node", "bucket").alias("h")).groupBy("bucket").agg(
+        F.min(F.struct("h", "node")).alias("p"), F.max(F.struct("h", "node")).alias("q")
+    ).select("bucket", F.explode(F.array("p.node", "q.node")).alias("pivot"))
+    other = few.select("bucket", F.col("node").alias("pivot"))
+    both = few.join(other, "bucket").filter("node < pivot").unionByName(many.join(chosen, "bucket").filter("node <> pivot"))
+    pairs = both.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    left, right = (signed.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
+    alive = pairs.join(left, "a").join(right, "b").filter(F.arrow_udf(promising, "boolean")("sig_a", "sig_b"))
+    asked = materialise(alive.select("a", "b"))
+    links = _verified(docs, nodes, asked)
+    labels = materialise(components(links))
+
+    # Large buckets that still hold several classes: block against block.
+    rows = many.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+    rows = materialise(rows)
+    open_ = rows.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")
+    ).filter("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(open_, "bucket").join(signed, "node").withColumn(
+        "block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks").cast("long")).cast("int")
+    )
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "node", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    rest = tiles.groupBy("bucket", "i", "j").applyInArrow(tile_survivors, "a bigint, b bigint")
+    rest = materialise(rest.distinct().join(asked, ["a", "b"], "left_anti"))
+    if rest.isEmpty():
+        return links, labels
+    links = materialise(links.union(_verified(docs, nodes, rest)))
+    return links, materialise(components(links))
 
 
 def shingle_sets(texts: pa.Array) -> pa.Array:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.segments import CELL_KEYS, demand_cells_train
+from ledgerloom.sources.sales import with_row_key
 
 
 @dataclass(frozen=True)
@@ -57,7 +58,10 @@ def sales_training_set(sales: DataFrame, key: Column | str = "row_key") -> DataF
 
 
 def training_set(sales: DataFrame, task: Task) -> DataFrame:
-    return demand_training_set(sales) if task is DEMAND else sales_training_set(sales)
+    """The task's rows; order lines of a source without keys are given some."""
+    if task is DEMAND:
+        return demand_training_set(sales)
+    return sales_training_set(sales if "row_key" in sales.columns else with_row_key(sales))
 
 
 def with_split(df: DataFrame, key: str = "row_key", *, holdout: str = "hash", tenths: int = 2) -> DataFrame:

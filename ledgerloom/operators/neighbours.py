@@ -130,12 +130,14 @@ def knn_join(
 ) -> DataFrame:
     """Rows (key, place, ref_key, distance_sq, label): the ``k`` nearest references per probe.
 
-    Ties are broken by the reference key.
+    Ties are broken by the reference key. Every probe row is numbered, so rows
+    that share a key, or have none, each get their ``k`` places.
     """
     cats, nums = list(cats), list(nums)
     doubles = [F.col(c).cast("double").alias(c) for c in nums]
     refs = materialise(refs.select(F.col(key).alias("ref_key"), F.col(label).cast("double").alias("label"), *cats, *doubles))
-    probes = _with_known(probes.select(F.col(key).alias("probe_key"), *cats, *doubles), refs, cats)
+    numbered = probes.select(F.monotonically_increasing_id().alias("probe_id"), F.col(key).cast("string").alias("probe_key"), *cats, *doubles)
+    probes = _with_known(materialise(numbered), refs, cats)
 
     n_refs = refs.count()
     share = min(1.0, SAMPLE_ROWS / max(1, n_refs))
@@ -155,7 +157,7 @@ def knn_join(
 
     probe_chunks = _chunk_counts(visits, chunk_rows, "probe_chunks")
     left = (
-        _chunked(visits, probe_chunks, "probe_chunks", "probe_key", "probe_chunk")
+        _chunked(visits, probe_chunks, "probe_chunks", "probe_id", "probe_chunk")
         .join(F.broadcast(ref_chunks), "box")
         .withColumn("ref_chunk", F.explode(F.sequence(F.lit(0), F.col("ref_chunks") - 1)))
         .drop("ref_chunks")
@@ -168,11 +170,12 @@ def knn_join(
     def meet(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
         found = list(_nearest(mine, theirs, k, cats, nums, mine["radius_sq"].to_numpy(float)))
         if not found:
-            return pd.DataFrame({"probe_key": [], "ref_key": [], "distance_sq": [], "label": []})
+            return pd.DataFrame({"probe_id": [], "probe_key": [], "ref_key": [], "distance_sq": [], "label": []})
         ordered = found[0][3]
         near = np.concatenate([f[1] for f in found])
         return pd.DataFrame(
             {
+                "probe_id": np.repeat(mine["probe_id"].to_numpy(), [len(f[1]) for f in found]),
                 "probe_key": np.repeat(mine["probe_key"].to_numpy(), [len(f[1]) for f in found]),
                 "ref_key": ordered["ref_key"].to_numpy()[near],
                 "distance_sq": np.concatenate([f[2] for f in found]),
@@ -184,9 +187,9 @@ def knn_join(
         _dealt(left, by)
         .groupBy(*by)
         .cogroup(_dealt(right, by).groupBy(*by))
-        .applyInPandas(meet, "probe_key string, ref_key string, distance_sq double, label double")
+        .applyInPandas(meet, "probe_id bigint, probe_key string, ref_key string, distance_sq double, label double")
     )
-    nearest = W.partitionBy("probe_key").orderBy("distance_sq", "ref_key")
+    nearest = W.partitionBy("probe_id").orderBy("distance_sq", "ref_key")
     placed = candidates.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k)
     return placed.select(F.col("probe_key").alias(key), "place", "ref_key", "distance_sq", "label")
 
@@ -237,7 +240,7 @@ def _visits(probes: DataFrame, first: DataFrame, boxes: Boxes, k: int, cats, num
     and visits every box.
     """
     counts = _chunk_counts(probes, chunk_rows, "probe_chunks")
-    mine = _chunked(probes, counts, "probe_chunks", "probe_key", "probe_chunk")
+    mine = _chunked(probes, counts, "probe_chunks", "probe_id", "probe_chunk")
     theirs = first.join(F.broadcast(counts), "box").withColumn(
         "probe_chunk", F.explode(F.sequence(F.lit(0), F.col("probe_chunks") - 1))
     )

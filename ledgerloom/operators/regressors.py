@@ -51,6 +51,9 @@ COMPACT = Profile("compact", trees=20, tree_depth=8, boost_rounds=20, adaboost_r
 REFERENCE_DEMAND = Profile("reference", trees=400, tree_depth=30, boost_rounds=100, adaboost_rounds=50, max_iter=20_000)
 REFERENCE_SALES = Profile("reference", trees=300, tree_depth=30, boost_rounds=100, adaboost_rounds=50, max_iter=20_000)
 
+# The default is the full size.
+FULL = {"demand": REFERENCE_DEMAND, "sales": REFERENCE_SALES}
+
 ALPHA, L1_RATIO = 1.0, 0.5
 NEIGHBOURS = 7
 BOOST_RATE, BOOST_DEPTH = 0.1, 3
@@ -157,9 +160,14 @@ class NeighbourModel:
         self.rows, self.cats, self.nums, self.k = rows, list(cats), list(nums), k
 
     def predict(self, df: DataFrame) -> DataFrame:
-        near = knn_join(df, self.rows, self.k, self.cats, self.nums)
-        means = near.groupBy("row_key").agg(F.avg("label").alias("prediction"))
-        return df.join(means, "row_key").select(*df.columns, "prediction")
+        # Numbered rows: equal or missing keys must not be averaged together.
+        rows = materialise(df.withColumn("_row", F.monotonically_increasing_id().cast("string")))
+        near = knn_join(rows.drop("row_key").withColumnRenamed("_row", "row_key"), self._keyed(), self.k, self.cats, self.nums)
+        means = near.groupBy(F.col("row_key").alias("_row")).agg(F.avg("label").alias("prediction"))
+        return rows.join(means, "_row").select(*df.columns, "prediction")
+
+    def _keyed(self) -> DataFrame:
+        return self.rows.select("row_key", *self.cats, *self.nums, "label")
 
     def save(self, path: str) -> dict:
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")
@@ -214,7 +222,16 @@ def _fit_linear(train: DataFrame, profile: Profile, reg: float, mix: float) -> S
     model = LinearRegression(
         regParam=reg, elasticNetParam=mix, standardization=reg == 0.0, maxIter=profile.max_iter, tol=1e-8
     )
-    return SparkModel(Pipeline(stages=[model]).fit(train))
+    fitted = Pipeline(stages=[model]).fit(train)
+    _converged(fitted.stages[0], profile)
+    return SparkModel(fitted)
+
+
+def _converged(model: LinearRegressionModel, profile: Profile) -> LinearRegressionModel:
+    """The model, if its solver stopped before the limit of iterations."""
+    if model.hasSummary and model.summary.totalIterations >= profile.max_iter:
+        raise RuntimeError(f"no convergence within {profile.max_iter} iterations")
+    return model
 
 
 def fit_linear(train: DataFrame, task: Task, profile: Profile) -> SparkModel:
@@ -340,9 +357,9 @@ def fit_rbf_huber(train: DataFrame, task: Task, profile: Profile) -> FourierMode
     gamma = 1.0 / (width * max(square - mean * mean, 1e-12))
     mapped = with_fourier_features(train, width, gamma, profile.fourier_features)
     linear = LinearRegression(
-        featuresCol="fourier", loss="huber", regParam=1.0 / (SVR_C * sums["n"]), maxIter=min(profile.max_iter, 100)
+        featuresCol="fourier", loss="huber", regParam=1.0 / (SVR_C * sums["n"]), maxIter=profile.max_iter
     )
-    return FourierModel(linear.fit(mapped), width, gamma, profile.fourier_features)
+    return FourierModel(_converged(linear.fit(mapped), profile), width, gamma, profile.fourier_features)
 
 
 # In listing order, which breaks ties in the comparison.

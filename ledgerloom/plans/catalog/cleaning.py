@@ -28,7 +28,7 @@ def read_sales(spark, folder):
     headers = {field: header for header, field in src.CSV_NAMES.items()}
     dirty = dirty_text(sales_table(spark, folder))
     dirty.toDF(*[headers.get(c, c) for c in dirty.columns]).write.option("header", True).csv(path)
-    return _plain(src.read_sales(spark, path))
+    return _plain(src.read_sales(spark, path)).withColumn("quantity", F.col("quantity").cast("double"))
 
 
 def write_sales(spark, folder):
@@ -37,7 +37,7 @@ def write_sales(spark, folder):
     back = src.read_sales(spark, path)
     return back.groupBy("category", F.year("order_date").alias("order_year")).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.sum("quantity").alias("quantity"),
+        F.sum("quantity").cast("bigint").alias("quantity"),
         F.sum("sales").cast("double").alias("sales"),
         F.sum("profit").cast("double").alias("profit"),
     )
@@ -84,7 +84,7 @@ def append_rows(spark, folder):
     sales = sales_table(spark, folder).drop("order_year", "order_month", "order_quarter")
     both = cl.append_rows(sales, _typed(spark, folder))
     return both.groupBy("category", "payment_mode").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("order_date").alias("dated"), F.sum("quantity").alias("quantity")
+        F.count(F.lit(1)).alias("rows"), F.count("order_date").alias("dated"), F.sum("quantity").cast("bigint").alias("quantity")
     )
 
 
@@ -102,7 +102,9 @@ _FILLED = """select '{0}' as column_name, {1} as missing, cast({2} as bigint) as
 _PRESENT = ("order_date", "region", "city", "category", "sub_category", "quantity", *_MEASURES)
 
 ORACLES = {
-    "read_sales": with_sales(CLEAN_SQL, f"select {_COLUMNS}, {_DOUBLES} from typed"),
+    "read_sales": with_sales(
+        CLEAN_SQL, f"select {_COLUMNS.removesuffix(', quantity')}, cast(quantity as double) as quantity, {_DOUBLES} from typed"
+    ),
     "write_sales": with_sales(
         """select category, cast(year(order_date) as int) as order_year, count(*) as rows,
            cast(sum(quantity) as bigint) as quantity, cast(sum(sales) as double) as sales,

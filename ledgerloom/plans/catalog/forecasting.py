@@ -9,6 +9,7 @@ from ledgerloom.operators import forecasting as fc
 from ledgerloom.operators import series as sr
 from ledgerloom.plans import forecast as plan
 from ledgerloom.plans.catalog.inputs import sales_table, sql_uniform_int, with_sales
+from ledgerloom.sources.requests import REJECTIONS, parse_requests
 
 HORIZON = 12
 
@@ -18,7 +19,7 @@ def _series(spark, folder):
 
 
 def _history(spark, folder):
-    history = plan.series_histories(sales_table(spark, folder))
+    history = plan.series_histories(sales_table(spark, folder), drop_partial=True)
     return history.withColumn("horizon", F.lit(HORIZON))
 
 
@@ -69,11 +70,11 @@ def select_forecast_model(spark, folder):
 
 
 def forecast_sales(spark, folder):
-    return plan.forecast_sales(sales_table(spark, folder), HORIZON)
+    return plan.forecast_sales(sales_table(spark, folder), HORIZON, drop_partial=True)
 
 
 def forecast_frame(spark, folder):
-    return plan.forecast_frame(plan.forecast_sales(sales_table(spark, folder), HORIZON))
+    return plan.forecast_frame(plan.forecast_sales(sales_table(spark, folder), HORIZON, drop_partial=True))
 
 
 def forecast_status(spark, folder):
@@ -85,7 +86,34 @@ def forecast_status(spark, folder):
         F.when(slot == 0, F.lit("All")).when(slot == 1, F.col("product_name")).otherwise(F.col("category")).alias("series_key"),
         F.when(slot == 2, F.lit(0)).otherwise(F.col("quantity").cast("int")).alias("horizon"),
     )
-    return plan.forecast_status(requests, plan.series_histories(sales))
+    return plan.forecast_status(requests, plan.series_histories(sales, drop_partial=True))
+
+
+ASKED = (3, 12, 0)  # horizons asked for, per category
+
+
+def answer_forecasts(spark, folder):
+    """Answers to requests for every category, the total, an unknown name and broken JSON."""
+    sales = sales_table(spark, folder)
+    names = sales.select("category").distinct().union(spark.sql("select * from values ('All'), ('nobody')"))
+    payload = F.to_json(F.struct(F.col("h").alias("horizon"), "category"))
+    asked = names.withColumn("h", F.explode(F.array(*[F.lit(h) for h in ASKED]))).select(
+        F.concat_ws("/", "category", "h").alias("request_id"), payload.alias("payload")
+    )
+    broken = asked.select(F.concat(F.lit("broken "), "request_id").alias("request_id"), F.expr("left(payload, length(payload) - 1)").alias("payload"))
+    parsed = parse_requests(asked.union(broken), "forecast")
+    answers = plan.answer_forecasts(parsed, sales, drop_partial=True)
+    told = F.from_json(
+        "response",
+        "error string, model_name string, mape double, history struct<dates:array<string>,values:array<double>>, "
+        "forecast struct<dates:array<string>,values:array<double>>",
+    )
+    size = F.size(F.coalesce("a.forecast.values", F.array().cast("array<double>")))
+    return answers.withColumn("a", told).select(
+        "request_id", "a.error", "a.model_name", "a.mape", size.alias("n_ahead"),
+        F.element_at("a.history.dates", -1).alias("last_month"),
+        F.floor(F.element_at("a.forecast.values", -1) / 100).cast("double").alias("last_hundreds"),
+    )
 
 
 QUERIES = {
@@ -93,7 +121,7 @@ QUERIES = {
     for f in (
         monthly_sales_series, fill_months, series_lag, moving_average, forecast_moving_average, forecast_holt_winters,
         forecast_arima, forecast_arima_high_order, backtest_mape, select_forecast_model, forecast_sales, forecast_frame,
-        forecast_status,
+        forecast_status, answer_forecasts,
     )
 }
 
@@ -286,4 +314,29 @@ ORACLES = {
                 when p.n < 5 then 'insufficient_history' end as error
            from requests r left join (select series_key, any_value(n) as n from placed group by series_key) p using (series_key)""",
     ),
+    "answer_forecasts": with_sales(
+        *_BASE,
+        BACKTEST_SQL,
+        FULL_SQL,
+        FORECAST_SQL,
+        f"""asked as (
+          select name, h from (select distinct category as name from sales union all select unnest(['All', 'nobody'])),
+                 (select unnest({list(ASKED)}) as h)
+        ), steps as (
+          select series_key, value, cast(row_number() over (partition by series_key order by month) as int) as step
+          from forecast where kind = 'forecast'
+        ), past as (
+          select series_key, strftime(max(month), '%Y-%m') as last_month from forecast where kind = 'history' group by series_key
+        )""",
+        f"""select name || '/' || h as request_id,
+           case when h < 1 then 'bad_horizon' when c.series_key is null then 'unknown_category' end as error,
+           case when h >= 1 then c.model_name end as model_name, case when h >= 1 then c.mape end as mape,
+           cast(case when h >= 1 and c.series_key is not null then h else 0 end as int) as n_ahead,
+           case when h >= 1 then p.last_month end as last_month,
+           cast(floor(round(s.value, 2) / 100) as double) as last_hundreds
+           from asked left join chosen c on c.series_key = name left join past p on p.series_key = name
+           left join steps s on s.series_key = name and s.step = h
+           union all
+           select 'broken ' || name || '/' || h, '{REJECTIONS["forecast"]}', null, null, 0, null, null from asked""",
+    ),
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
@@ -86,9 +87,16 @@ def knn_join(spark, folder):
     return nb.knn_join(test, train, rg.NEIGHBOURS, ft.SALES.cats, ft.SALES.nums)
 
 
+# The forests' full size (hundreds of trees of depth 30) is hours on one machine:
+# their queries, and those that compare all ten, run them in this size.
+FORESTS = ("random_forest", "random_cut_forest")
+SMALL_FORESTS = replace(rg.REFERENCE_SALES, name="small forests", trees=rg.COMPACT.trees, tree_depth=rg.COMPACT.tree_depth)
+
+
 def _predictions(spark, folder, name: str, task: ft.Task = ft.SALES) -> DataFrame:
     train, test = ft.train_test_split(_rows(spark, folder, task))
-    return tr.fit_model(train, task, name).predict(test).select("row_key", "label", "prediction")
+    profile = SMALL_FORESTS if name in FORESTS else None
+    return tr.fit_model(train, task, name, profile).predict(test).select("row_key", "label", "prediction")
 
 
 def _model_query(name: str):
@@ -112,18 +120,18 @@ def model_knn_demand(spark, folder):
 
 def fit_candidates(spark, folder):
     train, test = ft.train_test_split(_rows(spark, folder, ft.DEMAND))
-    return tr.fit_candidates(train, test, ft.DEMAND)[1]
+    return tr.fit_candidates(train, test, ft.DEMAND, profile=SMALL_FORESTS)[1]
 
 
 def model_comparison(spark, folder):
     train, test = ft.train_test_split(_rows(spark, folder, ft.SALES))
-    return tr.model_comparison(tr.fit_candidates(train, test, ft.SALES)[1])
+    return tr.model_comparison(tr.fit_candidates(train, test, ft.SALES, profile=SMALL_FORESTS)[1])
 
 
 def refit_best(spark, folder):
-    """The winner among the linear models, refitted on all cells, predicting them."""
+    """The winner among all ten, refitted on all cells, predicting them."""
     rows = _rows(spark, folder, ft.DEMAND)
-    model, _ = tr.refit_best(rows, ft.DEMAND, ("linear", "ridge", "lasso", "elastic_net"))
+    model, _ = tr.refit_best(rows, ft.DEMAND, profile=SMALL_FORESTS)
     return model.predict(rows).select("row_key", F.lit(model.name).alias("model"), "label", "prediction")
 
 

@@ -88,21 +88,11 @@ def _pick_within(draws: DataFrame, sales: DataFrame, column: str, by, default: s
         return draws.withColumn(column, F.lit(default))
     counts = value_frequency(sales, [column], by).select(*by, column, "n")
     picked = weighted_pick(draws, cumulative_weights(counts, [column], by), column, [column], by)
-    if not _any_missing_key(sales, by):
-        return picked
     overall = counts.groupBy(column).agg(F.sum("n").alias("n")).withColumnRenamed(column, "_any")
     spare = weighted_pick(picked, cumulative_weights(overall, ["_any"]), f"any {column}", ["_any"])
     return spare.withColumn(column, F.coalesce(column, "_any", F.lit(default))).drop("_any")
 
 
-def _any_missing_key(sales: DataFrame, by) -> bool:
-    """Whether some segment lacks a parent key; the scan stops at the first one."""
-    hit = F.lit(False)
-    for key in by:
-        hit |= F.col(key).isNull()
-    return sales.where(hit).limit(1).count() > 0
-
-
 def sample_city(draws: DataFrame, sales: DataFrame) -> DataFrame:
     return _pick_within(draws, sales, "city", ["region"], "Unknown")
 

@@ -47,8 +47,9 @@ def _vectors(prepared: PipelineModel, df: DataFrame, task: Task) -> DataFrame:
     return ready.select(*df.columns, "features", "onehot")
 
 
-def fit_model(train: DataFrame, task: Task, name: str, profile: rg.Profile = rg.COMPACT) -> TaskModel:
-    """Prepare features on ``train`` and fit one candidate."""
+def fit_model(train: DataFrame, task: Task, name: str, profile: rg.Profile | None = None) -> TaskModel:
+    """Prepare features on ``train`` and fit one candidate, at full size unless a profile is given."""
+    profile = profile or rg.FULL[task.name]
     prepared = feature_pipeline(task.cats, task.nums).fit(train)
     ready = _vectors(prepared, train, task).persist()
     try:
@@ -58,13 +59,13 @@ def fit_model(train: DataFrame, task: Task, name: str, profile: rg.Profile = rg.
 
 
 def fit_candidates(
-    train: DataFrame, test: DataFrame, task: Task, names: Iterable[str] = tuple(rg.CANDIDATES), profile: rg.Profile = rg.COMPACT
+    train: DataFrame, test: DataFrame, task: Task, names: Iterable[str] = tuple(rg.CANDIDATES), profile: rg.Profile | None = None
 ) -> tuple[dict[str, TaskModel], DataFrame]:
     """Fit each candidate on ``train``; (models, one metric row per model on ``test``).
 
     Features are prepared once, and the vectors are cached for all fits.
     """
-    names = list(names)
+    names, profile = list(names), profile or rg.FULL[task.name]
     prepared = feature_pipeline(task.cats, task.nums).fit(train)
     ready = _vectors(prepared, train, task).persist()
     try:
@@ -97,7 +98,7 @@ def write_comparison(results: DataFrame, path: str) -> None:
 
 
 def refit_best(
-    rows: DataFrame, task: Task, names: Iterable[str] = tuple(rg.CANDIDATES), profile: rg.Profile = rg.COMPACT, *, holdout: str = "hash"
+    rows: DataFrame, task: Task, names: Iterable[str] = tuple(rg.CANDIDATES), profile: rg.Profile | None = None, *, holdout: str = "hash"
 ) -> tuple[TaskModel, DataFrame]:
     """Compare on the held-out part, then refit the winner on all rows."""
     train, test = train_test_split(rows, holdout=holdout)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerloom.functions.scalars import blank_to_null, iso_date_text, parse_date, parse_number
+from ledgerloom.functions.scalars import DATE_FORMATS, blank_to_null, iso_date_text, parse_date, parse_number
 
 # File header of a sales CSV and the field name used in every operator.
 CSV_NAMES = {
@@ -35,9 +36,9 @@ FIELD_TYPES = {
     "category": "string",
     "sub_category": "string",
     "product_name": "string",
-    "quantity": "bigint",
-    "unit_price": "decimal(18,2)",
-    "discount": "decimal(5,2)",
+    "quantity": "decimal(18,4)",
+    "unit_price": "decimal(18,4)",
+    "discount": "decimal(18,4)",
     "sales": "decimal(18,4)",
     "profit": "decimal(18,4)",
     "payment_mode": "string",
@@ -46,14 +47,14 @@ FIELD_TYPES = {
 REQUIRED_COLUMNS = tuple(name for name in CSV_NAMES.values() if name != "order_id")
 
 
-def typed_sales(raw: DataFrame) -> DataFrame:
+def typed_sales(raw: DataFrame, date_formats=DATE_FORMATS) -> DataFrame:
     """Type the text columns of a raw sales frame; bad values become NULL."""
     columns = []
     for name in raw.columns:
         kind = FIELD_TYPES.get(name, "string")
         text = blank_to_null(name)
         if kind == "date":
-            columns.append(parse_date(text).alias(name))
+            columns.append(parse_date(text, date_formats).alias(name))
         elif kind == "bigint":
             # 3.0 is a whole number in a CSV column that holds gaps.
             columns.append(parse_number(text, "decimal(38,6)").try_cast("bigint").alias(name))
@@ -64,16 +65,51 @@ def typed_sales(raw: DataFrame) -> DataFrame:
     return raw.select(*columns)
 
 
-def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    """Scan a sales CSV: header names, all columns as text, then typed.
+# Quotes are doubled inside quoted values.
+CSV_DIALECT = {"header": True, "quote": '"', "escape": '"'}
+
+
+def raw_sales(spark: SparkSession, path: str, *, multi_line: bool = True) -> DataFrame:
+    """A sales CSV with field names, all columns as text.
 
     The header is read on its own, so optional columns may be absent and the
-    data scan needs no inference pass.
+    data scan needs no inference pass. Files of one folder must share their
+    column order; another order raises instead of shifting values. Quoted line
+    breaks need ``multi_line``, for which a file is one task: switch it off for
+    few large files without them.
     """
-    header = spark.read.option("header", True).csv(path).columns
+    header = spark.read.options(**CSV_DIALECT).csv(path).columns
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    raw = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
-    return typed_sales(raw.toDF(*[CSV_NAMES.get(name, name) for name in header]))
+    reader = spark.read.schema(schema).options(**CSV_DIALECT, mode="PERMISSIVE", enforceSchema=False, multiLine=multi_line)
+    return reader.csv(path).toDF(*[CSV_NAMES.get(name, name) for name in header])
+
+
+def read_sales(spark: SparkSession, path: str, *, date_formats=DATE_FORMATS, multi_line: bool = True) -> DataFrame:
+    """Scan a sales CSV and type its columns; ``conversion_losses`` counts what did not fit."""
+    return typed_sales(raw_sales(spark, path, multi_line=multi_line), date_formats)
+
+
+def conversion_losses(raw: DataFrame, date_formats=DATE_FORMATS) -> DataFrame:
+    """One row per typed column: filled texts, and those that became NULL."""
+    names = [n for n in raw.columns if FIELD_TYPES.get(n, "string") != "string"]
+    typed = typed_sales(raw.select(*names, *[F.col(n).alias(f"{n}_text") for n in names]), date_formats)
+    counts = typed.agg(*[
+        F.struct(F.count(f"{n}_text").alias("filled"), F.count(F.when(F.col(n).isNull(), F.col(f"{n}_text"))).alias("lost")).alias(n)
+        for n in names
+    ])
+    rows = F.array(*[F.struct(F.lit(n).alias("column_name"), f"{n}.filled", f"{n}.lost") for n in names])
+    return counts.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """A repeatable key for rows of any source: a digest of all columns and a copy number.
+
+    Only rows alike in every column share a digest, so groups stay small.
+    """
+    text = F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"})
+    digested = df.withColumn(name, F.md5(text))
+    copy = F.row_number().over(W.partitionBy(name).orderBy(name))
+    return digested.withColumn(name, F.concat_ws("-", name, copy))
 
 
 def column_report(df: DataFrame, required=REQUIRED_COLUMNS) -> DataFrame:
@@ -107,7 +143,7 @@ def write_sales(df: DataFrame, path: str, fmt: str = "csv") -> None:
         if name in df.columns:
             value = iso_date_text(name) if name == "order_date" else F.col(name)
             columns.append(value.alias(header))
-    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*columns).write.mode("overwrite").options(**CSV_DIALECT).csv(path)
 
 
 # Compressed file bytes up to which a joined dimension is broadcast.

@@ -42,7 +42,7 @@ def test_column_report_lists_absent_columns(spark):
 
 def test_optional_columns_are_typed_nulls(spark):
     df = src.with_optional_columns(spark.createDataFrame([("a",)], "region string"))
-    assert dict(df.dtypes)["quantity"] == "bigint" and df.first()["payment_mode"] is None
+    assert dict(df.dtypes)["quantity"] == "decimal(18,4)" and df.first()["payment_mode"] is None
 
 
 def test_numbers(spark):
