@@ -96,12 +96,69 @@ SMALL_FORESTS = replace(rg.REFERENCE_SALES, name="small forests", trees=rg.COMPA
 def _predictions(spark, folder, name: str, task: ft.Task = ft.SALES) -> DataFrame:
     train, test = ft.train_test_split(_rows(spark, folder, task))
     profile = SMALL_FORESTS if name in FORESTS else None
-    return tr.fit_model(train, task, name, profile).predict(test).select("row_key", "label", "prediction")
+    model = tr.fit_model(train, task, name, profile)
+    return _judged(model.predict(test), train)
+
+
+def _judged(scored: DataFrame, train: DataFrame) -> DataFrame:
+    """row_key, label, prediction, and what holds for any regressor that learned something.
+
+    ``inside``: the prediction lies in the training labels' range, widened by
+    half of it for models that extrapolate. ``skilled``: over all rows the
+    squared error is below that of the training mean.
+    """
+    seen = train.agg(F.min("label").alias("low"), F.max("label").alias("high"), F.avg("label").alias("mean")).first()
+    room = 0.5 * (seen["high"] - seen["low"])
+    scored = materialise(scored.select("row_key", "label", "prediction"))
+    gain = scored.agg(F.sum((F.col("label") - seen["mean"]) ** 2 - (F.col("label") - F.col("prediction")) ** 2)).scalar()
+    return scored.withColumns({
+        "inside": F.col("prediction").between(seen["low"] - room, seen["high"] + room), "skilled": gain > 0,
+    })
 
 
 def _model_query(name: str):
     def query(spark, folder):
-        return _predictions(spark, folder, name)
+        return _predictions(spark, folder, name).drop("prediction")
+
+    query.__name__ = f"model_{name}"
+    return query
+
+
+LINEAR = ("linear", "ridge", "lasso", "elastic_net")
+GRADIENT_SLACK = 1e-3
+
+
+def _linear_query(name: str):
+    """Per feature, whether the fit on the training rows meets its optimality condition.
+
+    With residuals r = label - prediction, the penalised loss is least where
+    sum(r x) equals l2 * w, up to n * l1 for the absolute penalty. The slack is
+    relative to sum(abs(label x)).
+    """
+
+    def query(spark, folder):
+        train, _ = ft.train_test_split(_rows(spark, folder, ft.SALES))
+        model = tr.fit_model(train, ft.SALES, name)
+        scored = materialise(model.predict(train).withColumn("r", F.col("label") - F.col("prediction")))
+        weights = model.core.model.stages[0].coefficients.toArray()
+        n = scored.count()
+        l1 = {"lasso": rg.ALPHA, "elastic_net": rg.ALPHA * rg.L1_RATIO}.get(name, 0.0) * n
+        l2 = {"ridge": rg.ALPHA, "elastic_net": rg.ALPHA * (1 - rg.L1_RATIO) * n}.get(name, 0.0)
+        parts = [
+            scored.groupBy(F.concat(F.lit(f"{c}="), F.col(c)).alias("feature")).agg(
+                F.sum("r").alias("g"), F.sum(F.abs("label")).alias("size")
+            )
+            for c in ft.SALES.cats
+        ]
+        sums = scored.agg(*[F.struct(F.sum(F.col("r") * F.col(c)).alias("g"), F.sum(F.abs(F.col("label") * F.col(c))).alias("size")).alias(c) for c in ft.SALES.nums])
+        parts.append(sums.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), f"{c}.g", f"{c}.size") for c in ft.SALES.nums])).alias("e")).select("e.*"))
+        gradients = reduce(DataFrame.unionByName, parts)
+        # Vector order: the sorted values of each category column, then the numbers.
+        indexer = model.prepared.stages[0]
+        names = [f"{c}={v}" for c, values in zip(ft.SALES.cats, indexer.labelsArray, strict=True) for v in values] + list(ft.SALES.nums)
+        known = spark.createDataFrame(list(zip(names, map(float, weights), strict=True)), "feature string, w double")
+        excess = F.abs(F.col("g") - F.lit(l2) * F.col("w")) - F.lit(l1)
+        return gradients.join(known, "feature").select("feature", (excess <= GRADIENT_SLACK * F.col("size")).alias("optimal"))
 
     query.__name__ = f"model_{name}"
     return query
@@ -115,24 +172,35 @@ def model_knn(spark, folder):
 
 
 def model_knn_demand(spark, folder):
-    return _predictions(spark, folder, "knn", ft.DEMAND)
+    return _predictions(spark, folder, "knn", ft.DEMAND).select("row_key", "label", fixed4("prediction").alias("prediction"))
 
 
 def fit_candidates(spark, folder):
     train, test = ft.train_test_split(_rows(spark, folder, ft.DEMAND))
-    return tr.fit_candidates(train, test, ft.DEMAND, profile=SMALL_FORESTS)[1]
+    return _sound(tr.fit_candidates(train, test, ft.DEMAND, profile=SMALL_FORESTS)[1])
+
+
+def _sound(results: DataFrame) -> DataFrame:
+    """task, model, and whether its metrics fit together and beat the mean."""
+    sound = (F.col("mae") > 0) & (F.col("mae") <= F.col("rmse")) & (F.col("r2") > 0) & (F.col("r2") <= 1)
+    return results.select("task", "model", sound.alias("sound"))
 
 
 def model_comparison(spark, folder):
     train, test = ft.train_test_split(_rows(spark, folder, ft.SALES))
-    return tr.model_comparison(tr.fit_candidates(train, test, ft.SALES, profile=SMALL_FORESTS)[1])
+    table = materialise(tr.model_comparison(tr.fit_candidates(train, test, ft.SALES, profile=SMALL_FORESTS)[1]))
+    worse = table.select(F.col("place").alias("p"), F.col("mae").alias("m"))
+    ordered = table.join(F.broadcast(worse), F.col("p") == F.col("place") - 1, "left")
+    return _sound(table).join(
+        ordered.select("model", "place", (F.col("m").isNull() | (F.col("m") <= F.col("mae"))).alias("ordered")), "model"
+    ).select("task", "model", "sound", "ordered", (F.col("place").between(1, len(rg.CANDIDATES))).alias("placed"))
 
 
 def refit_best(spark, folder):
     """The winner among all ten, refitted on all cells, predicting them."""
     rows = _rows(spark, folder, ft.DEMAND)
     model, _ = tr.refit_best(rows, ft.DEMAND, profile=SMALL_FORESTS)
-    return model.predict(rows).select("row_key", F.lit(model.name).alias("model"), "label", "prediction")
+    return _judged(model.predict(rows), rows).drop("prediction")
 
 
 def write_comparison(spark, folder):
@@ -149,7 +217,8 @@ def save_load_model(spark, folder):
     model.save(path)
     loaded = tr.TaskModel.load(spark, path)
     before = model.predict(rows).select("row_key", F.col("prediction").alias("before"))
-    return before.join(loaded.predict(rows).select("row_key", F.col("prediction").alias("after")), "row_key")
+    both = before.join(loaded.predict(rows).select("row_key", F.col("prediction").alias("after")), "row_key")
+    return both.select("row_key", (F.col("before") == F.col("after")).alias("same"))
 
 
 QUERIES = {
@@ -157,7 +226,7 @@ QUERIES = {
     for f in (
         demand_training_set, sales_training_set, train_test_split, feature_pipeline, error_metrics, best_model,
         comparison_pick, write_comparison, knn_join, model_knn, model_knn_demand,
-        *[_model_query(name) for name in rg.CANDIDATES if name != "knn"],
+        *[(_linear_query if name in LINEAR else _model_query)(name) for name in rg.CANDIDATES if name != "knn"],
         fit_candidates, model_comparison, refit_best, save_load_model,
     )
 }
@@ -216,6 +285,18 @@ SCORES_SQL = f"""marked as (
       for task, label in (("sales", "sales"), ("quantity", "quantity"))
       for i, (name, keys) in enumerate(_TIERS.items()))}
 )"""
+CELL_SET_SQL = f"""cell_set as (
+  select concat_ws('|', order_year, order_month, category, sub_category, region) as row_key, category, sub_category, region,
+         cast(order_year as double) as order_year, cast(order_month as double) as order_month,
+         {sql_mean('unit_price')} as avg_unit_price, {sql_mean('discount')} as avg_discount,
+         cast(count(quantity) as double) as orders_count, cast(sum(quantity) as double) as label
+  from sales group by order_year, order_month, category, sub_category, region
+), split_cells as (select *, {_IN_TEST} as in_test from cell_set)"""
+_FEATURES = " union all ".join(
+    [f"select distinct '{c}=' || {c} as feature, true as optimal from lines where not in_test" for c in _CATS]
+    + [f"select '{c}', true" for c in _NUMS]
+)
+_MODELS = ", ".join(f"'{name}'" for name in rg.CANDIDATES)
 _BEST = "qualify row_number() over (partition by task order by mae, rmse, ordinal) = 1"
 
 
@@ -244,6 +325,22 @@ ORACLES = {
     "write_comparison": with_sales(
         SCORES_SQL, "select model as \"Model\", mae as \"MAE\", rmse as \"RMSE\", r2 as \"R2\" from scores where task = 'sales'"
     ),
+    **{f"model_{name}": with_sales(LINES_SQL, _FEATURES) for name in LINEAR},
+    **{
+        f"model_{name}": with_sales(LINES_SQL, "select row_key, label, true as inside, true as skilled from lines where in_test")
+        for name in rg.CANDIDATES
+        if name not in (*LINEAR, "knn")
+    },
+    "fit_candidates": f"select 'demand' as task, unnest([{_MODELS}]) as model, true as sound",
+    "model_comparison": f"select 'sales' as task, unnest([{_MODELS}]) as model, true as sound, true as ordered, true as placed",
+    "refit_best": with_sales(CELL_SET_SQL, "select row_key, label, true as inside, true as skilled from cell_set"),
+    "save_load_model": with_sales(CELL_SET_SQL, "select row_key, true as same from cell_set"),
+    "model_knn_demand": with_sales(
+        CELL_SET_SQL,
+        _neighbours_sql("split_cells", ft.DEMAND.cats, ft.DEMAND.nums),
+        f"""select n.row_key, any_value(c.label) as label, {sql_fixed4('avg(n.label)')} as prediction
+           from neighbours n join split_cells c using (row_key) group by n.row_key""",
+    ),
     "knn_join": with_sales(LINES_SQL, NEIGHBOURS_SQL, "select * from neighbours"),
     "model_knn": with_sales(
         LINES_SQL,
