@@ -28,7 +28,7 @@ def _draws(spark, folder):
 def _expanded(spark, folder):
     sales = stored_sales(spark, folder)
     return sales, ex.expand_sales(
-        sales, sales.count() * 3 // 2, first_year=YEARS[0], last_year=YEARS[1]
+        sales, sales.count() * 3 // 2, first_year=YEARS[0], last_year=YEARS[1], stored=True
     )
 
 

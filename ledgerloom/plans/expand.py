@@ -12,7 +12,7 @@ from ledgerloom.operators.sampling import cumulative_weights, weighted_pick
 from ledgerloom.operators.segments import (
     median_margin_by_category, next_order_id, segment_frequency, segment_profile, value_frequency,
 )
-from ledgerloom.session import size_checked
+from ledgerloom.session import materialise, size_checked
 from ledgerloom.sources.sales import with_optional_columns
 
 TARGET_ROWS = 80_000
@@ -36,12 +36,30 @@ def _by_month(high, low, other) -> Column:
     return F.when(month.isin(*HIGH_MONTHS), high).when(month.isin(*LOW_MONTHS), low).otherwise(other)
 
 
-def month_weights(sales: DataFrame, strength: float = SEASONAL_STRENGTH) -> DataFrame:
+COUNT_KEYS = (
+    "order_year", "order_month", "region", "city", "category", "sub_category", "product_name", "payment_mode",
+)
+
+
+def key_counts(sales: DataFrame) -> DataFrame:
+    """Rows per combination of everything that is drawn by frequency, written once.
+
+    All frequency tables are sums over this one, so the sales rows are counted
+    in a single pass.
+    """
+    return materialise(sales.groupBy(*[k for k in COUNT_KEYS if k in sales.columns]).agg(F.count(F.lit(1)).alias("n")))
+
+
+def _amount(weight: str | None) -> Column:
+    return F.sum(weight) if weight else F.count(F.lit(1))
+
+
+def month_weights(sales: DataFrame, strength: float = SEASONAL_STRENGTH, weight: str | None = None) -> DataFrame:
     """Twelve rows: month, its count (1 if absent) times the season factor, share.
 
     The weight is whole: the factor is counted in thousandths.
     """
-    counts = sales.groupBy("order_month").agg(F.count(F.lit(1)).alias("_n"))
+    counts = sales.groupBy("order_month").agg(_amount(weight).alias("_n"))
     months = sales.sparkSession.range(1, 13).select(F.col("id").cast("int").alias("order_month"))
     factor = _by_month(*(F.lit(round(1000 * f)).cast("bigint") for f in (1 + strength, 1 - strength / 2, 1.0)))
     rows = months.join(counts, "order_month", "left").select(
@@ -50,9 +68,11 @@ def month_weights(sales: DataFrame, strength: float = SEASONAL_STRENGTH) -> Data
     return _with_share(rows)
 
 
-def year_weights(sales: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR, absent: int = 1) -> DataFrame:
+def year_weights(
+    sales: DataFrame, first: int = FIRST_YEAR, last: int = LAST_YEAR, absent: int = 1, weight: str | None = None
+) -> DataFrame:
     """One row per year of the target range; a year without data weighs ``absent``."""
-    counts = sales.groupBy("order_year").agg(F.count(F.lit(1)).alias("_n"))
+    counts = sales.groupBy("order_year").agg(_amount(weight).alias("_n"))
     years = sales.sparkSession.range(first, last + 1).select(F.col("id").cast("int").alias("order_year"))
     rows = years.join(counts, "order_year", "left").select(
         "order_year", F.coalesce("_n", F.lit(absent)).cast("bigint").alias("n")
@@ -82,29 +102,29 @@ def sample_dates(draws: DataFrame, years: DataFrame, months: DataFrame) -> DataF
     return dated.withColumn("order_date", F.make_date("order_year", "order_month", day))
 
 
-def _pick_within(draws: DataFrame, sales: DataFrame, column: str, by, default: str) -> DataFrame:
+def _pick_within(draws: DataFrame, sales: DataFrame, column: str, by, default: str, weight: str | None) -> DataFrame:
     """Pick by the share within the parent; unknown parents draw from all values."""
     if column not in sales.columns:
         return draws.withColumn(column, F.lit(default))
-    counts = value_frequency(sales, [column], by).select(*by, column, "n")
+    counts = materialise(value_frequency(sales, [column], by, weight).select(*by, column, "n"))
     picked = weighted_pick(draws, cumulative_weights(counts, [column], by), column, [column], by)
     overall = counts.groupBy(column).agg(F.sum("n").alias("n")).withColumnRenamed(column, "_any")
     spare = weighted_pick(picked, cumulative_weights(overall, ["_any"]), f"any {column}", ["_any"])
     return spare.withColumn(column, F.coalesce(column, "_any", F.lit(default))).drop("_any")
 
 
-def sample_city(draws: DataFrame, sales: DataFrame) -> DataFrame:
-    return _pick_within(draws, sales, "city", ["region"], "Unknown")
+def sample_city(draws: DataFrame, sales: DataFrame, weight: str | None = None) -> DataFrame:
+    return _pick_within(draws, sales, "city", ["region"], "Unknown", weight)
 
 
-def sample_product(draws: DataFrame, sales: DataFrame) -> DataFrame:
-    return _pick_within(draws, sales, "product_name", ["category", "sub_category"], "Product")
+def sample_product(draws: DataFrame, sales: DataFrame, weight: str | None = None) -> DataFrame:
+    return _pick_within(draws, sales, "product_name", ["category", "sub_category"], "Product", weight)
 
 
-def sample_payment(draws: DataFrame, sales: DataFrame) -> DataFrame:
+def sample_payment(draws: DataFrame, sales: DataFrame, weight: str | None = None) -> DataFrame:
     if "payment_mode" not in sales.columns:
         return draws.withColumn("payment_mode", F.lit("Card"))
-    counts = value_frequency(sales, ["payment_mode"]).select("payment_mode", "n")
+    counts = value_frequency(sales, ["payment_mode"], weight=weight).select("payment_mode", "n")
     return weighted_pick(draws, cumulative_weights(counts, ["payment_mode"]), "payment", ["payment_mode"])
 
 
@@ -149,12 +169,14 @@ def derive_profit(draws: DataFrame, margins: DataFrame) -> DataFrame:
 
 
 def new_sales(
-    sales: DataFrame, draws: DataFrame, *, first_year: int, last_year: int, absent_year_weight: int, strength: float
+    sales: DataFrame, counts: DataFrame, draws: DataFrame, *,
+    first_year: int, last_year: int, absent_year_weight: int, strength: float,
 ) -> DataFrame:
-    """Fill the drawn ids with every column of a sales row."""
-    rows = sample_segments(draws, segment_frequency(sales))
-    rows = sample_dates(rows, year_weights(sales, first_year, last_year, absent_year_weight), month_weights(sales, strength))
-    rows = sample_payment(sample_product(sample_city(rows, sales), sales), sales)
+    """Fill the drawn ids with every column of a sales row; ``counts`` are the ``key_counts``."""
+    rows = sample_segments(draws, value_frequency(stringify_keys(counts), SEGMENT_KEYS, weight="n"))
+    years = year_weights(counts, first_year, last_year, absent_year_weight, "n")
+    rows = sample_dates(rows, years, month_weights(counts, strength, "n"))
+    rows = sample_payment(sample_product(sample_city(rows, counts, "n"), counts, "n"), counts, "n")
     rows = season_quantity(sample_numeric(rows, segment_profile(sales)), strength)
     rows = derive_sales(rows)
     if "profit" in sales.columns and "sales" in sales.columns:
@@ -183,20 +205,23 @@ def expand_sales(
     absent_year_weight: int = 1,
     strength: float = SEASONAL_STRENGTH,
     sort: bool = True,
+    stored: bool = False,
 ) -> DataFrame:
     """``sales`` plus drawn rows up to ``target_rows``; unchanged if already there.
 
-    Needs the calendar columns. Only the row count and the next id reach the
-    driver.
+    Needs the calendar columns. The input is written once, unless it already is
+    a written table (``stored``), and the frequency tables come from one count
+    of it. Only the row count and the next id reach the driver.
     """
-    sales = drop_incomplete(sales, EXPANSION_KEYS)
+    sales = drop_incomplete(sales if stored else materialise(sales), EXPANSION_KEYS)
     existing = drop_calendar(sales)
-    missing = max(0, target_rows - sales.count())
+    counts = key_counts(sales)
+    missing = max(0, target_rows - (counts.agg(F.sum("n")).first()[0] or 0))
     if missing == 0:
         return existing
     draws = assign_ids(sales.sparkSession, next_order_id(sales).first()["next_order_id"], missing)
     drawn = new_sales(
-        sales, draws, first_year=first_year, last_year=last_year, absent_year_weight=absent_year_weight, strength=strength
+        sales, counts, draws, first_year=first_year, last_year=last_year, absent_year_weight=absent_year_weight, strength=strength
     )
     out = append_rows(with_optional_columns(existing), drawn)
     return sort_by_date(out) if sort else out
