@@ -6,10 +6,11 @@ from tests.conftest import SMALL
 from tests.oracle import compare, connect
 
 import __spark_entry__ as entry
+from ledgerloom.plans.catalog import QUERIES
 
 # The full model comparisons are covered by tests/test_models.py on fewer models.
-SLOW = {"fit_candidates", "model_comparison"}
-NAMES = [n for n in entry.queries() if n not in SLOW]
+SLOW = {"fit_candidates", "model_comparison", "refit_best"}
+NAMES = [n for n in QUERIES if n not in SLOW]
 
 
 @pytest.fixture(scope="module")
