@@ -8,13 +8,15 @@ a chunk at a time, and the pair is dropped as soon as the posterior probability
 (uniform prior) that its similarity reaches the threshold falls below
 ``TOLERANCE``. What is left is verified exactly on the shingle sets.
 
-Large buckets never list their pairs. First two of their members, the pivots,
-meet all others, and members found similar join one class. Then only buckets
-that still hold several classes are compared, in tiles of ``BLOCK`` by
-``BLOCK`` members: the values of both blocks meet in one task, and only pairs of
-different classes that survive the pruning leave it. So every pair of different
-texts that share a bucket is either of one class already or compared. Buckets
-of up to ``DIRECT`` members are finished at once.
+No bucket lists its pairs. It is cut into blocks of about ``BLOCK`` members; the
+values of a block meet in one task, and of the pairs that survive the pruning
+only a spanning forest leaves it, most agreements first. Those links are
+verified exactly and joined to classes. A block all of whose links held is done:
+its surviving pairs are of one class. Other blocks, and pairs of blocks of one
+bucket, are compared once more, now only between members of different classes;
+survivors are verified in the same task, and links that join classes leave it.
+So every pair of different texts that share a
+bucket is either of one class already or compared.
 
 The chance that two texts at the threshold share no band is
 (1 - 0.8**4)**32 = 5e-8; it is smaller above it.
@@ -28,6 +30,8 @@ sorts first. Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,7 +48,6 @@ HASHES = 128
 BAND = 4
 CHUNK = 16
 TOLERANCE = 1e-6
-DIRECT = 8
 BLOCK = 256
 
 _MULTIPLIERS = tv.mix(np.arange(1000, 1000 + HASHES, dtype=np.uint64)) | np.uint64(1)
@@ -131,20 +134,6 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
 _LEAST = least_matches()
 
 
-def promising(left: pa.Array, right: pa.Array) -> pa.Array:
-    """Whether a pair survives the chunk by chunk comparison."""
-    a, b = _matrix(left), _matrix(right)
-    alive = np.arange(len(a))
-    matches = np.zeros(len(a), np.int64)
-    for step, least in enumerate(_LEAST):
-        cut = slice(step * CHUNK, (step + 1) * CHUNK)
-        matches[alive] += (a[alive, cut] == b[alive, cut]).sum(axis=1)
-        alive = alive[matches[alive] >= least]
-    keep = np.zeros(len(a), bool)
-    keep[alive] = True
-    return pa.array(keep)
-
-
 def similar(left: pa.Array, right: pa.Array) -> pa.Array:
     """Whether the exact Jaccard similarity of two shingle sets reaches the threshold."""
     out = []
@@ -176,7 +165,7 @@ def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     if clash:  # two of the 128-bit keys met in 64 bits: number the classes instead
         nodes = materialise(heads.withColumn("node", F.monotonically_increasing_id()))
     rows = copies.join(nodes.select("seq", "node"), "seq", "left").select("doc_id", "text_key", "n_rows", "node")
-    return materialise(rows), nodes
+    return rows, nodes
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -197,8 +186,103 @@ def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialise(met.filter(F.arrow_udf(similar, "boolean")("set_a", "set_b")).select("a", "b"))
 
 
-def tile_survivors(tile: pa.Table) -> pa.Table:
-    """a, b: pairs of different classes, one from each block, that the comparison does not drop."""
+def _survivors(values: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs of rows a, b that the chunk by chunk comparison keeps, with their agreements."""
+    matches = np.zeros(len(a), np.int64)
+    for step, least in enumerate(_LEAST):
+        cut = slice(step * CHUNK, (step + 1) * CHUNK)
+        matches += (values[a, cut] == values[b, cut]).sum(axis=1)
+        stay = matches >= least
+        a, b, matches = a[stay], b[stay], matches[stay]
+    return a, b, matches
+
+
+def _forest(a: np.ndarray, b: np.ndarray, matches: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the pairs that make a spanning forest, those of most agreements first."""
+    root = list(range(n))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    kept = []
+    for i in np.argsort(-matches, kind="stable").tolist():
+        x, y = find(int(a[i])), find(int(b[i]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append(i)
+    return np.array(kept, np.int64)
+
+
+def block_links(batches):
+    """a, b: candidate links that span each block of a partition sorted by (bucket, block).
+
+    All pairs of a block are compared in place. Of those that survive only a
+    spanning forest leaves, so a block gives fewer rows than it has members.
+    """
+    held: pa.Table | None = None
+    for batch in chain(batches, [None]):
+        if batch is not None:
+            new = pa.Table.from_batches([batch])
+            held = new if held is None else pa.concat_tables([held, new])
+        if held is None or not len(held):
+            continue
+        bucket, block = (held[c].to_numpy() for c in ("bucket", "block"))
+        starts = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])]))
+        ends = np.concatenate([starts[1:], [len(bucket)]])
+        # The last group may go on in the next batch.
+        whole = len(starts) if batch is None else len(starts) - 1
+        if whole:
+            upto = int(ends[whole - 1])
+            part = held.slice(0, upto)
+            node = part["node"].to_numpy()
+            values = _matrix(part["sig"].combine_chunks())
+            out_a, out_b = [], []
+            for s, e in zip(starts[:whole].tolist(), ends[:whole].tolist(), strict=True):
+                a, b = np.triu_indices(e - s, 1)
+                a, b, matches = _survivors(values[s:e], a, b)
+                if len(a):
+                    kept = _forest(a, b, matches, e - s)
+                    out_a.append(node[s + a[kept]])
+                    out_b.append(node[s + b[kept]])
+            if out_a:
+                x, y = np.concatenate(out_a), np.concatenate(out_b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
+            held = held.slice(upto)
+
+
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many shingles each of the sets a shares with each of the sets b.
+
+    Shared shingles are counted as a product of membership matrices, some
+    columns at a time.
+    """
+    sizes = [len(x) for x in sets]
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    shared = counts[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((len(a), len(b)), np.float32)
+    width = 4096
+    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        lo, hi = np.searchsorted(column, [begin, begin + width])
+        part = np.zeros((len(sets), width), np.float32)
+        part[row[lo:hi], column[lo:hi] - begin] = 1
+        common += part[a] @ part[b].T
+    return common
+
+
+def tile_links(tile: pa.Table) -> pa.Table:
+    """a, b: similar pairs that join different classes, one end from each block.
+
+    Pairs of different classes are compared chunk by chunk, the survivors are
+    verified exactly, and a spanning forest of the classes leaves the task.
+    """
     i, j = tile["i"][0].as_py(), tile["j"][0].as_py()
     block = np.array(tile["block"].to_pylist())
     node, label = (np.array(tile[c].to_pylist(), np.int64) for c in ("node", "label"))
@@ -209,55 +293,60 @@ def tile_survivors(tile: pa.Table) -> pa.Table:
     if i == j:
         pairs &= node[left][:, None] < node[right][None, :]
     a, b = np.nonzero(pairs)
-    a, b = left[a], right[b]
-    matches = np.zeros(len(a), np.int64)
-    for step, least in enumerate(_LEAST):
-        cut = slice(step * CHUNK, (step + 1) * CHUNK)
-        matches += (values[a, cut] == values[b, cut]).sum(axis=1)
-        stay = matches >= least
-        a, b, matches = a[stay], b[stay], matches[stay]
+    a, b, matches = _survivors(values, left[a], right[b])
+    if len(a):
+        used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        column = tile["shingles"].combine_chunks()
+        sets = [np.frombuffer(column[int(k)].as_py(), np.uint64) for k in used]
+        rows, row_at = np.unique(place[: len(a)], return_inverse=True)
+        cols, col_at = np.unique(place[len(a) :], return_inverse=True)
+        common = _common(sets, rows, cols)[row_at, col_at]
+        sizes = np.array([len(x) for x in sets])
+        union = sizes[place[: len(a)]] + sizes[place[len(a) :]] - common
+        linked = common >= THRESHOLD * union - 1e-6
+        a, b, matches = a[linked], b[linked], matches[linked]
+        _, class_ = np.unique(label, return_inverse=True)
+        kept = _forest(class_[a], class_[b], matches, int(class_.max()) + 1)
+        a, b = a[kept], b[kept]
     return pa.table({"a": np.minimum(node[a], node[b]), "b": np.maximum(node[a], node[b])})
 
 
 def near_links(docs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(links, labels): verified links a, b between nodes, and node, root of their classes."""
+    members = nodes.select("node", "sig", F.explode(F.arrow_udf(band_keys, "array<bigint>")("sig")).alias("bucket"))
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "bucket"), "node")).alias("p"))
+    sizes = sizes.filter("size > 1").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"), F.col("p.node").alias("pivot"))
+    number = F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks").cast("long")).cast("int")
+    members = materialise(members.select("node", "bucket").join(sizes, "bucket").withColumn("block", number))
+
+    # Within blocks; a bucket of several blocks has one member in all of them.
+    everywhere = members.filter("blocks > 1 and node = pivot").select(
+        "bucket", "node", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("block").alias("own")
+    ).filter("block <> own").drop("own")
     signed = nodes.select("node", "sig")
-    members = signed.select("node", F.explode(F.arrow_udf(band_keys, "array<bigint>")("sig")).alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1")
-    members = materialise(members.join(sizes, "bucket"))
-    few, many = members.filter(F.col("size") <= DIRECT), members.filter(F.col("size") > DIRECT)
-
-    # Small buckets: their pairs. Large ones: a few pivots against all members.
-    chosen = many.select("bucket", "node", F.xxhash64("node", "bucket").alias("h")).groupBy("bucket").agg(
-        F.min(F.struct("h", "node")).alias("p"), F.max(F.struct("h", "node")).alias("q")
-    ).select("bucket", F.explode(F.array("p.node", "q.node")).alias("pivot"))
-    other = few.select("bucket", F.col("node").alias("pivot"))
-    both = few.join(other, "bucket").filter("node < pivot").unionByName(many.join(chosen, "bucket").filter("node <> pivot"))
-    pairs = both.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    left, right = (signed.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}")) for c in "ab")
-    alive = pairs.join(left, "a").join(right, "b").filter(F.arrow_udf(promising, "boolean")("sig_a", "sig_b"))
-    asked = materialise(alive.select("a", "b"))
+    dealt = members.select("bucket", "node", "block").unionByName(everywhere).join(signed, "node")
+    grouped = dealt.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    asked = materialise(grouped.select("bucket", "block", "node", "sig").mapInArrow(block_links, "a bigint, b bigint").distinct())
     links = _verified(docs, nodes, asked)
-    labels = materialise(components(links))
-
-    # Large buckets that still hold several classes: block against block.
-    rows = many.join(labels, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
-    rows = materialise(rows)
-    open_ = rows.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")
-    ).filter("lo <> hi").select("bucket", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(open_, "bucket").join(signed, "node").withColumn(
-        "block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks").cast("long")).cast("int")
-    )
-    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", "node", "label", "sig", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    labels = components(links)
+
+    # Blocks that still hold several classes, and buckets of several blocks that do.
+    labelled = members.join(labels, "node", "left").select("bucket", "node", "block", "blocks", F.coalesce("root", "node").alias("label"))
+    open_ = asked.join(links, ["a", "b"], "left_anti").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    doubtful = labelled.join(open_, "node", "left_semi").select("bucket").union(labelled.filter("blocks > 1").select("bucket")).distinct()
+    labelled = materialise(labelled.join(doubtful, "bucket", "left_semi"))
+    split = labelled.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bucket")
+    rows = labelled.join(split, "bucket", "left_semi").join(signed, "node")
+    texts = _texts(docs, nodes.join(materialise(rows.select("node").distinct()), "node", "left_semi"))
+    rows = rows.join(texts.select("node", F.arrow_udf(shingle_sets, "binary")("text").alias("shingles")), "node")
+    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", "node", "label", "sig", "shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
     )
-    rest = tiles.groupBy("bucket", "i", "j").applyInArrow(tile_survivors, "a bigint, b bigint")
-    rest = materialise(rest.distinct().join(asked, ["a", "b"], "left_anti"))
-    if rest.isEmpty():
+    more = materialise(tiles.groupBy("bucket", "i", "j").applyInArrow(tile_links, "a bigint, b bigint").distinct())
+    if more.isEmpty():
         return links, labels
-    links = materialise(links.union(_verified(docs, nodes, rest)))
-    return links, materialise(components(links))
+    joined = labels.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
+    return links.union(more), components(joined)
 
 
 def shingle_sets(texts: pa.Array) -> pa.Array:
@@ -269,31 +358,14 @@ def shingle_sets(texts: pa.Array) -> pa.Array:
 
 
 def tile_degrees(tile: pa.Table) -> pa.Table:
-    """node, n: how many members of the other block (or of its own) are similar to it.
-
-    Shared shingles are counted as a product of membership matrices, some
-    columns at a time.
-    """
+    """node, n: how many members of the other block (or of its own) are similar to it."""
     home = np.array(tile["block"].to_pylist()) == tile["i"][0].as_py()
     same = tile["i"][0].as_py() == tile["j"][0].as_py()
     sets = [np.frombuffer(x, np.uint64) for x in tile["shingles"].to_pylist()]
     sizes = np.array([len(x) for x in sets])
-    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    shared = counts[column] > 1
-    row, column = row[shared], column[shared]
-    _, column = np.unique(column, return_inverse=True)
     a = np.flatnonzero(home)
     b = a if same else np.flatnonzero(~home)
-    common = np.zeros((len(a), len(b)), np.float32)
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    width = 4096
-    for begin in range(0, int(column[-1]) + 1 if len(column) else 0, width):
-        lo, hi = np.searchsorted(column, [begin, begin + width])
-        part = np.zeros((len(sets), width), np.float32)
-        part[row[lo:hi], column[lo:hi] - begin] = 1
-        common += part[a] @ part[b].T
+    common = _common(sets, a, b)
     union = sizes[a][:, None] + sizes[b][None, :] - common
     linked = common >= THRESHOLD * union - 1e-6
     if same:
@@ -346,7 +418,7 @@ def classes(docs: DataFrame) -> DataFrame:
     rooted = nodes.select("node", "n_copies", "head").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialise(rooted.join(degree, "node", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0))))
     heads = rooted.groupBy("root").agg(F.min("head").alias("first"))
-    placed = materialise(rooted.join(heads, "root").select("node", "n_copies", "n_links", "first"))
+    placed = rooted.join(heads, "root").select("node", "n_copies", "n_links", "first")
     out = copies.join(placed, "node", "left")
     first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key"))
     return out.select(

@@ -96,8 +96,7 @@ def brute_classes(data):
 
 
 def test_classes_match_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "DIRECT", 4)  # larger buckets go through pivots
-    monkeypatch.setattr(jaccard, "BLOCK", 5)  # larger classes through several tiles
+    monkeypatch.setattr(jaccard, "BLOCK", 5)  # larger buckets and classes take several blocks
     data = cases.rows()
     got = jaccard.classes(cases.table(spark, data)).collect()
     assert {(r.doc_id, r.class_id, r.n_links) for r in got} == brute_classes(data)
