@@ -12,26 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm import bpe, decontaminate, jaccard, outliers, secrets
 from ledgerloom.llm.common import table
-from ledgerloom.session import materialise
+from ledgerloom.session import materialise, tune
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return outliers.drop_rejected(docs)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return jaccard.drop_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return secrets.redact(docs)
 
 
 def bpe_round_trip(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    tune(spark)
     return bpe.token_digests(docs)
 
 
