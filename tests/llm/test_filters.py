@@ -62,7 +62,13 @@ def test_unlabelled_credentials_are_added(spark):
     def key():
         return "".join(r.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40))
 
-    data = [(i, f"some words token = {key()} and {'nothing' * 4} 2024-01-02T03 12345678", "en", "a") for i in range(80)]
+    def word():
+        return "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(20, 30)))
+
+    data = [
+        (i, f"some words token = {key()} and {word()} {word()} 2024-01-{i:03d}T03 {r.randrange(10**9, 10**12)}", "en", "a")
+        for i in range(80)
+    ]
     hidden = key()
     data.append((500, f"see {hidden} here", "en", "a"))
     got = {d.doc_id: d.spans for d in secrets.digests(secrets.secrets(cases.table(spark, data))).collect()}
