@@ -23,7 +23,8 @@ on disk; a task holds one run of ``SHARD`` tuples at a time.
 
 Definitions: a text is its UTF-8 bytes, null is empty; strings never cross
 texts. Rows that repeat are copies of each other, so their long strings repeat.
-Equal tuples are recognised by 128 bits. Extra columns are ignored.
+Equal tuples are
+recognised by two 64-bit hashes, of the core and of all their bytes. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,33 +44,12 @@ REACH = 48  # a cut has the least hash this far to both sides
 SPREAD = 280  # most starts in a tuple
 GROUP = 4096  # tuples of one core sorted together
 SHARD = 16_384  # tuples a task holds at once
-RANGES_BYTES = 24 << 20
+KEYS_BYTES = 24 << 20  # of document keys sent to all tasks instead of shuffling texts
 
 assert 2 * REACH + SPREAD + GRAM <= LENGTH
 
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
-_second_powers: dict[str, np.ndarray] = {}
-_TUPLE = pa.struct([(n, pa.int32() if n in ("cut", "u_min", "u_max") else pa.int64()) for n in ("cut", "u_min", "u_max", "core", "f1", "f2")])
-_TUPLES = "array<struct<cut:int,u_min:int,u_max:int,core:bigint,f1:bigint,f2:bigint>>"
-
-
-class _Hashes:
-    """Two independent hashes of any span of one byte array."""
-
-    def __init__(self, data: np.ndarray):
-        self.first = tv.SpanHashes(data)
-        # The second one runs over mixed pairs of neighbouring bytes.
-        pairs = data.astype(np.uint64)
-        pairs[:-1] += pairs[1:] << np.uint64(8)
-        self.data = data
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(tv.mix(pairs ^ _SECOND) * tv.powers(len(data)), out=self.sums[1:])
-
-    def second(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        # The last byte's pair would look beyond the span: leave it out, add the byte.
-        back = tv.powers(len(self.sums), inverse=True)
-        inner = (self.sums[ends - 1] - self.sums[starts]) * back[starts]
-        return tv.mix(inner + self.data[ends - 1].astype(np.uint64) * _SECOND + (ends - starts).astype(np.uint64))
+_TUPLE = pa.struct([(n, pa.int32() if n in ("cut", "u_min", "u_max") else pa.int64()) for n in ("cut", "u_min", "u_max", "core", "whole")])
+_TUPLES = "array<struct<cut:int,u_min:int,u_max:int,core:bigint,whole:bigint>>"
 
 
 def cut_points(data: np.ndarray, hashes: tv.SpanHashes) -> np.ndarray:
@@ -98,8 +78,8 @@ def tuples_of_slice(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     u counts the starts to the left of ``cut - REACH``; a single string outside
     any tuple has u_min = u_max = -1 and its start in ``cut``.
     """
-    hashes = _Hashes(data)
-    cuts = cut_points(data, hashes.first)
+    hashes = tv.SpanHashes(data)
+    cuts = cut_points(data, hashes)
     row = np.searchsorted(offsets, cuts, "right") - 1
     begin, end = offsets[row], offsets[row + 1]
     previous = np.concatenate([[-(1 << 40)], cuts[:-1]]) if len(cuts) else cuts
@@ -126,14 +106,13 @@ def tuples_of_slice(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     u_min = np.concatenate([base - last, np.full(len(lone), -1)])
     u_max = np.concatenate([base - first, np.full(len(lone), -1)])
     shape = tv.mix((u_min + 1).astype(np.uint64) * np.uint64(1 << 32) + (u_max + 1).astype(np.uint64))
-    f1 = hashes.first.of(start, stop) ^ shape
+    whole = hashes.of(start, stop) ^ shape
     core_stop = np.concatenate([base + LENGTH - SPREAD + 1, stop[len(first):]])
-    core = hashes.first.of(np.concatenate([base, lone]), core_stop)
+    core = hashes.of(np.concatenate([base, lone]), core_stop)
     order = np.lexsort((start, rows))
     columns = {
         "cut": np.concatenate([cuts, lone]) - offsets[rows],
-        "u_min": u_min, "u_max": u_max, "core": core.view(np.int64), "f1": f1.view(np.int64),
-        "f2": hashes.second(start, stop).view(np.int64) if len(start) else np.zeros(0, np.int64),
+        "u_min": u_min, "u_max": u_max, "core": core.view(np.int64), "whole": whole.view(np.int64),
     }
     return np.bincount(rows, minlength=len(offsets) - 1), {k: v[order] for k, v in columns.items()}
 
@@ -223,7 +202,7 @@ def induce(block: list[bytes], u_min: np.ndarray, u_max: np.ndarray, u0: int, u1
     return list(zip(who[first].tolist(), where[first].tolist(), (where[final] + 1).tolist(), strict=True))
 
 
-_MARKS = "core bigint, f1 bigint, f2 bigint, u_from int, u_to int"
+_MARKS = "core bigint, whole bigint, u_from int, u_to int"
 
 
 def _sort_shards(batches):
@@ -239,8 +218,8 @@ def _sort_shards(batches):
         )
         if found:
             yield pa.RecordBatch.from_pylist(
-                [{**{k: rows[i][k] for k in ("core", "f1", "f2")}, "u_from": a, "u_to": b} for i, a, b in found],
-                pa.schema([("core", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("u_from", pa.int32()), ("u_to", pa.int32())]),
+                [{**{k: rows[i][k] for k in ("core", "whole")}, "u_from": a, "u_to": b} for i, a, b in found],
+                pa.schema([("core", pa.int64()), ("whole", pa.int64()), ("u_from", pa.int32()), ("u_to", pa.int32())]),
             )
 
     for batch in batches:
@@ -274,7 +253,7 @@ def _parts(tuples: DataFrame) -> DataFrame:
 
 
 def _sorted_marks(tuples: DataFrame) -> DataFrame:
-    """Marks of tuples (core, f1, f2, u_min, u_max, block) whose cores repeat unequally."""
+    """Marks of tuples (core, whole, u_min, u_max, block) whose cores repeat unequally."""
     key = ["u0", "u1", "part"]
     marks = None
     todo = _parts(tuples.withColumns({"u0": F.lit(0), "u1": F.lit(SPREAD)}))
@@ -285,7 +264,7 @@ def _sorted_marks(tuples: DataFrame) -> DataFrame:
         shards = live.filter((F.col("n") <= GROUP) & (F.col("u1") - F.col("u0") > 1)).drop("n")
         sorted_ = shards.repartition(*key).sortWithinPartitions("u0", "u1", "part").mapInArrow(_sort_shards, _MARKS)
         # A part of one start is a whole string, and it occurs more than once.
-        single = live.filter(F.col("u1") - F.col("u0") == 1).select("core", "f1", "f2", F.col("u0").alias("u_from"), F.col("u1").alias("u_to"))
+        single = live.filter(F.col("u1") - F.col("u0") == 1).select("core", "whole", F.col("u0").alias("u_from"), F.col("u1").alias("u_to"))
         step = sorted_.union(single)
         marks = step if marks is None else marks.union(step)
         large = live.filter((F.col("n") > GROUP) & (F.col("u1") - F.col("u0") > 1)).drop("n", "part")
@@ -310,11 +289,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     tuples = plain.select("doc_id", "text_key", F.explode(F.arrow_udf(suffix_tuples, _TUPLES)("text")).alias("t"))
     tuples = materialise(tuples.select("doc_id", "text_key", "t.*"))
     cores = tuples.groupBy("core").agg(
-        F.count("*").alias("n"), F.min("f1").alias("a"), F.max("f1").alias("b"), F.min("f2").alias("c"), F.max("f2").alias("d")
+        F.count("*").alias("n"), F.min("whole").alias("a"), F.max("whole").alias("b")
     )
-    cores = cores.filter("n > 1").select("core", ((F.col("a") == F.col("b")) & (F.col("c") == F.col("d"))).alias("equal"))
+    cores = cores.filter("n > 1").select("core", (F.col("a") == F.col("b")).alias("equal"))
     live = materialise(tuples.join(materialise(cores), "core"))
-    name = ["core", "f1", "f2"]
+    name = ["core", "whole"]
     mixed = live.filter("not equal")
     distinct = materialise(mixed.groupBy(*name).agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "cut", "u_min", "u_max")).alias("r")
@@ -329,10 +308,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     fetch = distinct.filter("r.u_max >= 0").groupBy(F.col("r.doc_id").alias("w_id"), F.col("r.text_key").alias("w_key")).agg(
         F.collect_list(F.struct("r.cut", "r.u_min", "r.u_max", *name)).alias("wanted")
     )
-    fetch = hinted(fetch, RANGES_BYTES)
+    fetch = materialise(fetch)
     same = F.col("doc_id").eqNullSafe(F.col("w_id")) & (F.col("text_key") == F.col("w_key"))
-    with_text = plain.dropDuplicates(["doc_id", "text_key"]) if _repeats(tuples) else plain
-    kind = _TUPLES.replace("f2:bigint", "f2:bigint,block:binary")
+    with_text = _only(plain, fetch.select("w_id", "w_key"), "left_semi")
+    with_text = with_text.dropDuplicates(["doc_id", "text_key"]) if _repeats(tuples) else with_text
+    kind = _TUPLES.replace("whole:bigint", "whole:bigint,block:binary")
     blocks = with_text.join(fetch, same).select(F.explode(F.arrow_udf(_blocks, kind)("text", "wanted")).alias("b")).select("b.*")
     # A text that stands in several rows was fetched once for each.
     marks = materialise(_sorted_marks(blocks.drop("cut")))
@@ -346,6 +326,12 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     return every.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
 
+def _only(plain: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of (doc_id, text_key) that are among the keys or not; texts are shuffled only for keys beyond a broadcast."""
+    keys = hinted(keys.toDF("k_id", "k_key"), KEYS_BYTES)
+    return plain.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("text_key") == F.col("k_key")), how)
+
+
 def _repeats(tuples: DataFrame) -> bool:
     """Whether some (doc_id, text) stands in several rows: then a cut occurs twice."""
     key = ["doc_id", "text_key"]
@@ -378,7 +364,11 @@ def _remove(texts: pa.Array, ranges: pa.Array) -> pa.Array:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every row."""
     plain = typed(docs, doc_id="bigint", text="string").withColumn("text_key", text_key(F.col("text")))
-    ranges = hinted(repeated_ranges(docs).select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), "ranges"), RANGES_BYTES)
+    ranges = materialise(repeated_ranges(docs).select(F.col("doc_id").alias("r_id"), F.col("text_key").alias("r_key"), "ranges"))
+    keys = ranges.select("r_id", "r_key")
     same = F.col("doc_id").eqNullSafe(F.col("r_id")) & (F.col("text_key") == F.col("r_key"))
-    made = plain.join(ranges, same, "left").withColumn("r", F.arrow_udf(_remove, _OUT)("text", "ranges"))
-    return made.select("doc_id", "r.*")
+    hit = _only(plain, keys, "left_semi").join(ranges, same).select("doc_id", "text", "ranges")
+    clean = _only(plain, keys, "left_anti").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("kept"))
+    zero = F.lit(0).cast("bigint")
+    untouched = clean.select("doc_id", F.octet_length("kept").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), "kept")
+    return hit.select("doc_id", F.arrow_udf(_remove, _OUT)("text", "ranges").alias("r")).select("doc_id", "r.*").unionByName(untouched)
