@@ -18,6 +18,7 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -185,9 +186,9 @@ class Vocabulary:
                     i >>= 1
         return [i for i in ids if i >= 0]
 
-    def fresh(self, words: list[bytes]) -> list[np.ndarray]:
+    def fresh(self, words: list[bytes]) -> list[list[int]]:
         """Ids of pre-tokens that are not in the cache."""
-        return [np.array(self.merge(w), "<u4") for w in words]
+        return [self.merge(w) for w in words]
 
     def _forget(self) -> None:
         """Empty the cache: sorted hashes of pre-tokens, and where their ids are in one pool."""
@@ -210,7 +211,7 @@ class Vocabulary:
             ids = self.fresh([word(i) for i in lost.tolist()])
             size = np.fromiter(map(len, ids), np.int64, len(ids))
             at = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, *ids]).astype(np.uint32)
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
             into = place[lost]
             self.keys = np.insert(self.keys, into, hashes[lost])
             self.at = np.insert(self.at, into, at)
