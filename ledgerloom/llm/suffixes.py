@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textvec as tv
@@ -298,11 +298,17 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     distinct = materialise(mixed.groupBy(*name).agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "cut", "u_min", "u_max")).alias("r")
     ))
-    again = distinct.filter("n > 1").select(*name)
-    full = live.filter("equal").unionByName(mixed.join(again, name, "left_semi"))
-    start = F.when(F.col("u_max") < 0, F.col("cut")).otherwise(F.col("cut") - REACH - F.col("u_max"))
-    stop = F.when(F.col("u_max") < 0, F.col("cut")).otherwise(F.col("cut") - REACH - F.col("u_min")) + LENGTH
-    ranges = full.select("doc_id", "text_key", start.alias("start"), stop.alias("stop"))
+    again = distinct.filter("n > 1")
+    whole_range = [F.col("r.u_min").alias("u_from"), (F.col("r.u_max") + 1).alias("u_to")]
+
+    def covered(rows: DataFrame, u_from: Column, u_to: Column) -> DataFrame:
+        """Byte ranges of the starts u_from <= u < u_to of tuples."""
+        single = F.col("u_max") < 0
+        start = F.when(single, F.col("cut")).otherwise(F.col("cut") - REACH - u_to + 1)
+        stop = F.when(single, F.col("cut")).otherwise(F.col("cut") - REACH - u_from) + LENGTH
+        return rows.select("doc_id", "text_key", start.alias("start"), stop.alias("stop"))
+
+    ranges = covered(live.filter("equal"), F.col("u_min"), F.col("u_max") + 1)
 
     # One copy of each different tuple is fetched from its text and sorted.
     fetch = distinct.filter("r.u_max >= 0").groupBy(F.col("r.doc_id").alias("w_id"), F.col("r.text_key").alias("w_key")).agg(
@@ -316,12 +322,11 @@ def repeated_ranges(docs: DataFrame) -> DataFrame:
     blocks = with_text.join(fetch, same).select(F.explode(F.arrow_udf(_blocks, kind)("text", "wanted")).alias("b")).select("b.*")
     # A text that stands in several rows was fetched once for each.
     marks = materialise(_sorted_marks(blocks.drop("cut")))
-    once = mixed.join(again, name, "left_anti")
-    found = once.join(marks, name).select(
-        "doc_id", "text_key",
-        (F.col("cut") - REACH - F.col("u_to") + 1).alias("start"),
-        (F.col("cut") - REACH - F.col("u_from") + LENGTH).alias("stop"),
+    # One table of hits, joined once: Spark can split a tuple that stands in very many texts.
+    hits = materialise(
+        marks.join(again.select(*name), name, "left_anti").distinct().unionByName(again.select(*name, *whole_range))
     )
+    found = covered(mixed.join(hits, name), F.col("u_from"), F.col("u_to"))
     every = ranges.unionByName(found)
     return every.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "stop")).alias("ranges"))
 
