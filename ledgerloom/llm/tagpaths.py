@@ -9,9 +9,13 @@ the smallest section that holds nearly all of their fused text, an ``article``
 or ``main`` element where one holds most of it; all its blocks are given, short
 ones and headings too.
 
-Parts that never are article text are left out before: scripts, styles, forms,
-menus, page headers and footers, sidebars, and elements whose class, id or role
-says so (adverts, notices, comments, ...).
+Parts that never are article text are left out before by their tag: scripts,
+styles, forms, menus, page headers and footers. A word of class, id or role
+(advert, notice, comment, ...) only marks an element. Marked elements are left
+out when they hold little of the page's content text and no main part of it;
+what holds more than half of that text (nearly all of it, beside an unmarked
+article or main element), alone or together with all others of the same word,
+stays, and so does the page if nothing else would be left.
 
 Definitions: null or empty html gives empty text. White space of a block becomes
 one space; blocks are joined by one line feed. Unclosed and stray tags are
@@ -35,6 +39,8 @@ SPREAD = 1.0  # standard deviation of the smoothing window, in text nodes
 THRESHOLD = 0.5  # share of the fused ratio's standard deviation
 HOLDS = 0.9  # share of the fused text the article's element holds at least
 MAIN_HOLDS = 0.5  # the same for article and main elements
+MARKED_HOLDS = 0.5  # share of the content text a marked element that is left out holds at most
+LITTLE = 0.1  # share of it an article element holds at least to keep a marked element around it
 DEEPEST = 200
 
 _TOKEN = re.compile(
@@ -74,12 +80,13 @@ _WORDS = set(
 )
 
 
-def _named_out(attributes: str) -> bool:
+def _marks(attributes: str) -> frozenset[str]:
+    """The words of class, id and role that speak against article text."""
+    found = set()
     for value in _NAME.findall(attributes):
         for word in value.strip("\"'").lower().split():
-            if word in _WORDS or any(w in _WORDS for w in re.split(r"[-_]", word)):
-                return True
-    return False
+            found.update(w for w in (word, *re.split(r"[-_]", word)) if w in _WORDS)
+    return frozenset(found)
 
 
 class _Page:
@@ -90,6 +97,7 @@ class _Page:
         self.parents: list[int] = [-1]
         self.tags: list[str] = [""]
         self.out: list[bool] = [False]
+        self.marks: list[frozenset[str]] = [frozenset()]
         self.paths: list[str] = [""]
         self.depth: list[int] = [0]
         self.block = 0
@@ -99,10 +107,10 @@ class _Page:
         top = stack[-1]
         inside_main = any(self.tags[e] in ("article", "main") for e in stack)
         out = self.out[top] or tag in _LEFT_OUT or tag == "header" and not inside_main
-        out = out or (tag not in ("html", "body", "article", "main") and bool(attributes) and _named_out(attributes))
         self.parents.append(top)
         self.tags.append(tag)
         self.out.append(out)
+        self.marks.append(_marks(attributes) if attributes and not out else frozenset())
         deep = self.depth[top] + 1
         self.depth.append(deep)
         self.paths.append(f"{self.paths[top]}/{tag}" if deep <= DEEPEST else self.paths[top])
@@ -185,18 +193,60 @@ def content_scores(nodes: list[tuple[str, str, int, int]]) -> np.ndarray:
     return np.where(chosen, fused * sizes, 0.0)
 
 
+def _held(page: _Page, nodes: list[tuple[str, str, int, int]], weights: np.ndarray) -> np.ndarray:
+    """The weight of the nodes in each element, those in its descendants included."""
+    held = np.zeros(len(page.tags))
+    np.add.at(held, [n[2] for n in nodes], weights)
+    for element in range(len(page.tags) - 1, 0, -1):  # children come after their parents
+        held[page.parents[element]] += held[element]
+    return held
+
+
+def _unmarked(page: _Page) -> list[tuple[str, str, int, int]]:
+    """The nodes outside the marked elements that are left out."""
+    nodes, tags, marks = page.nodes, page.tags, page.marks
+    marked = [e for e, m in enumerate(marks) if m and tags[e] not in ("html", "body", "article", "main")]
+    if not marked:
+        return nodes
+    held = _held(page, nodes, np.where(content_scores(nodes) > 0, [len(n[0].strip()) for n in nodes], 0.0))
+    total = held[0]
+    # Comments may be article elements too: their own marks tell them from the page's.
+    articles = [e for e, t in enumerate(tags) if t == "article" and not marks[e]]
+    bar = min(LITTLE * total, max((held[e] for e in articles), default=0.0))
+    holds_main = np.zeros(len(tags), bool)
+    holds_main[[e for e, t in enumerate(tags) if t == "main"] + [e for e in articles if held[e] >= bar]] = True
+    for element in range(len(tags) - 1, 0, -1):
+        holds_main[page.parents[element]] |= holds_main[element]
+    of_word: dict[str, float] = {}
+    above: list[frozenset[str]] = [frozenset()] * len(tags)  # marks of the element and its ancestors
+    for element in range(1, len(tags)):
+        up = above[page.parents[element]]
+        above[element] = up | marks[element] if marks[element] else up
+    for element in marked:
+        for word in marks[element] - above[page.parents[element]]:
+            of_word[word] = of_word.get(word, 0.0) + held[element]
+    # Beside an article or main element with text, a mark weighs more.
+    named = any(held[e] > 0 and not above[e] for e, t in enumerate(tags) if t in ("article", "main"))
+    most = (HOLDS if named else MARKED_HOLDS) * total
+    out = np.zeros(len(tags), bool)
+    for element in marked:
+        speaks = any(of_word.get(word, 0.0) <= most for word in marks[element])
+        out[element] = speaks and held[element] <= most and not holds_main[element]
+    for element in range(1, len(tags)):
+        out[element] |= out[page.parents[element]]
+    left = [n for n in nodes if not out[n[2]]]
+    return left if any(n[0].strip() for n in left) else nodes
+
+
 def main_text(source: str) -> str:
     """The article of one page."""
     page = _Page(source)
-    nodes = page.nodes
-    if not nodes:
+    if not page.nodes:
         return ""
+    nodes = _unmarked(page)
     scores = content_scores(nodes)
     total = scores.sum()
-    held = np.zeros(len(page.tags))
-    np.add.at(held, [n[2] for n in nodes], scores)
-    for element in range(len(page.tags) - 1, 0, -1):  # children come after their parents
-        held[page.parents[element]] += held[element]
+    held = _held(page, nodes, scores)
     article = 0
     if total > 0:
         main = [e for e, t in enumerate(page.tags) if t in ("article", "main") and held[e] >= MAIN_HOLDS * total]

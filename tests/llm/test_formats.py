@@ -80,6 +80,28 @@ def test_article_text(page, want):
     assert tagpaths.main_text(page) == want
 
 
+LONG = " ".join([PROSE] * 3)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<div class='{name}'><main><article><p>{LONG}</p></article></main></div>", LONG)
+        for name in ("content-sidebar-wrap", "page no-sidebar", "has-nav", "layout search-enabled", "comments widget ad")
+    ]
+    + [
+        (f"<body class=has-sidebar><div id=search-page><article><p>{PROSE}</p></article></div><div class=ad>{LONG[:60]}</div>", PROSE),
+        (f"<div class='no-sidebar'><div class='has-nav'><p>{LONG}</p><p>{LONG}</p></div></div>", f"{LONG}\n{LONG}"),
+        ("".join(f"<div class='el-widget el-text'><p>{PROSE}</p></div>" for _ in range(5)), "\n".join([PROSE] * 5)),
+        (f"<div class=widget><p>{PROSE}</p></div><div class=notice><p>{PROSE}</p></div>", f"{PROSE}\n{PROSE}"),
+        (f"<article><p>{LONG}</p></article><div id=comments><article class=comment><p>{PROSE}</p></article></div>", LONG),
+        (f"<div class=ad>{LONG}</div><article><p>{PROSE}</p></article>", PROSE),
+    ],
+)
+def test_marked_wrappers_keep_the_article(page, want):
+    assert tagpaths.main_text(page) == want
+
+
 def test_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, "u", f"<p>{PROSE}</p>", "t"), (2, None, None, "t"), (None, "u", "", "t"), (3, "v", deep, "t"), (3, "v", deep, "t")]
