@@ -5,9 +5,9 @@ path the text length and the punctuation are added up and divided by the number
 of its nodes; along the page both ratios are smoothed with a Gaussian window
 and fused into one product. Paths whose fused ratio reaches the threshold (a
 share of its standard deviation over the page) are content paths. The article is
-the smallest section that holds nearly all of their fused text, an ``article``
-or ``main`` element where one holds most of it; all its blocks are given, short
-ones and headings too.
+the smallest section that holds all nodes of content paths, an ``article`` or
+``main`` element where one holds them all; all its blocks are given in page
+order, short ones and headings too.
 
 Parts that never are article text are left out before by their tag: scripts,
 styles, forms, menus, page headers and footers. A word of class, id or role
@@ -37,9 +37,8 @@ from ledgerloom.llm.common import typed
 
 SPREAD = 1.0  # standard deviation of the smoothing window, in text nodes
 THRESHOLD = 0.5  # share of the fused ratio's standard deviation
-HOLDS = 0.9  # share of the fused text the article's element holds at least
-MAIN_HOLDS = 0.5  # the same for article and main elements
 MARKED_HOLDS = 0.5  # share of the content text a marked element that is left out holds at most
+BESIDE_HOLDS = 0.9  # the same on a page with an unmarked article or main element
 LITTLE = 0.1  # share of it an article element holds at least to keep a marked element around it
 DEEPEST = 200
 
@@ -227,7 +226,7 @@ def _unmarked(page: _Page) -> list[tuple[str, str, int, int]]:
             of_word[word] = of_word.get(word, 0.0) + held[element]
     # Beside an article or main element with text, a mark weighs more.
     named = any(held[e] > 0 and not above[e] for e, t in enumerate(tags) if t in ("article", "main"))
-    most = (HOLDS if named else MARKED_HOLDS) * total
+    most = (BESIDE_HOLDS if named else MARKED_HOLDS) * total
     out = np.zeros(len(tags), bool)
     for element in marked:
         speaks = any(of_word.get(word, 0.0) <= most for word in marks[element])
@@ -244,16 +243,16 @@ def main_text(source: str) -> str:
     if not page.nodes:
         return ""
     nodes = _unmarked(page)
-    scores = content_scores(nodes)
-    total = scores.sum()
-    held = _held(page, nodes, scores)
+    chosen = (content_scores(nodes) > 0).astype(float)
+    total = chosen.sum()
+    held = _held(page, nodes, chosen)
     article = 0
     if total > 0:
-        main = [e for e, t in enumerate(page.tags) if t in ("article", "main") and held[e] >= MAIN_HOLDS * total]
+        main = [e for e, t in enumerate(page.tags) if t in ("article", "main") and held[e] == total]
         if main:
             article = max(main, key=lambda e: (page.tags[e] == "article", -page.depth[e]))
         else:
-            fit = [e for e, t in enumerate(page.tags) if (t in _SECTIONS or e == 0) and held[e] >= HOLDS * total]
+            fit = [e for e, t in enumerate(page.tags) if (t in _SECTIONS or e == 0) and held[e] == total]
             article = max(fit, key=lambda e: page.depth[e])
     inside = np.zeros(len(page.tags), bool)
     inside[article] = True

@@ -102,6 +102,19 @@ def test_marked_wrappers_keep_the_article(page, want):
     assert tagpaths.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f"<body><main><article><p>{LONG}</p></article><article><p>{PROSE}</p></article></main>", f"{LONG}\n{PROSE}"),
+        (f"<main><article><p>{LONG}</p></article><h2>Two</h2><section><p>{PROSE}</p></section></main>", f"{LONG}\nTwo\n{PROSE}"),
+        (f"<body><article><p>{LONG}</p></article><article><p>{PROSE}</p></article><div class=ad>{PROSE}</div>", f"{LONG}\n{PROSE}"),
+        (f"<body><div>{f'<p>{LONG}</p>' * 6}</div><div><p>{LONG}</p></div>", "\n".join([LONG] * 7)),
+    ],
+)
+def test_split_articles_stay_whole(page, want):
+    assert tagpaths.main_text(page) == want
+
+
 def test_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, "u", f"<p>{PROSE}</p>", "t"), (2, None, None, "t"), (None, "u", "", "t"), (3, "v", deep, "t"), (3, "v", deep, "t")]
