@@ -78,6 +78,39 @@ def test_unlabelled_credentials_are_added(spark):
     assert clean[500].text == f"see {secrets.REDACTED} here" and clean[500].n_chars == len(clean[500].text)
 
 
+def test_unlabelled_credentials_of_every_length_are_added(spark):
+    r = random.Random(6)
+
+    def key(n):
+        return "".join(r.choice("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+
+    def word():
+        return "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(6, 30)))
+
+    data = [
+        (i, f"words token = {key(r.choice([16, 20, 24, 32, 40]))} and {word()} {word()} {word()} 2024-01-{i:03d}T03", "en", "a")
+        for i in range(120)
+    ]
+    hidden = [(500 + i, f"see {key(n)} here", "en", "a") for i, n in enumerate((16, 20, 24, 32, 35))]
+    got = {d.doc_id: d.spans for d in secrets.digests(secrets.secrets(cases.table(spark, data + hidden))).collect()}
+    assert [got[500 + i] for i in range(5)] == [f"format:4:{4 + n}" for n in (16, 20, 24, 32, 35)]
+    assert not any("format" in got[i] for i in range(120))
+    clean = {d.doc_id: d.text for d in secrets.redact(cases.table(spark, data + hidden)).collect()}
+    assert all(clean[500 + i] == f"see {secrets.REDACTED} here" for i in range(5))
+
+
+def test_margins_come_from_held_out_tokens():
+    r = random.Random(7)
+    keys = ["".join(r.choice("0123456789abcdef") for _ in range(24)) for _ in range(300)]
+    names = ["".join(r.choice("etaoinshr") for _ in range(r.randint(20, 26))) for _ in range(300)]
+    automata, ordinary = {"assign": secrets.Automaton(keys)}, secrets.Automaton(names)
+    usual = secrets.Formats(automata, ordinary, names)
+    shared = secrets.Formats(automata, ordinary, names[:200] + keys[:100])  # ordinary tokens look alike here
+    assert usual.margin(24) == secrets.MARGIN < shared.margin(24)
+    long = secrets.Automaton(["ab" * secrets.LONGEST, "ab" * 20])  # a cut value teaches no end
+    assert long.log_likelihood("ab" * 20) > long.log_likelihood(("ab" * secrets.LONGEST)[: secrets.LONGEST])
+
+
 def test_secrets_of_empty_tables(spark):
     assert secrets.secrets(cases.empty(spark)).collect() == []
     assert secrets.redact(cases.empty(spark)).columns == cases.empty(spark).columns
