@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml.functions import vector_to_array
@@ -87,16 +86,9 @@ def knn_join(spark, folder):
     return nb.knn_join(test, train, rg.NEIGHBOURS, ft.SALES.cats, ft.SALES.nums)
 
 
-# The forests' full size (hundreds of trees of depth 30) is hours on one machine:
-# their queries, and those that compare all ten, run them in this size.
-FORESTS = ("random_forest", "random_cut_forest")
-SMALL_FORESTS = replace(rg.REFERENCE_SALES, name="small forests", trees=rg.COMPACT.trees, tree_depth=rg.COMPACT.tree_depth)
-
-
 def _predictions(spark, folder, name: str, task: ft.Task = ft.SALES) -> DataFrame:
     train, test = ft.train_test_split(_rows(spark, folder, task))
-    profile = SMALL_FORESTS if name in FORESTS else None
-    model = tr.fit_model(train, task, name, profile)
+    model = tr.fit_model(train, task, name)
     return _judged(model.predict(test), train)
 
 
@@ -177,7 +169,7 @@ def model_knn_demand(spark, folder):
 
 def fit_candidates(spark, folder):
     train, test = ft.train_test_split(_rows(spark, folder, ft.DEMAND))
-    return _sound(tr.fit_candidates(train, test, ft.DEMAND, profile=SMALL_FORESTS)[1])
+    return _sound(tr.fit_candidates(train, test, ft.DEMAND)[1])
 
 
 def _sound(results: DataFrame) -> DataFrame:
@@ -188,7 +180,7 @@ def _sound(results: DataFrame) -> DataFrame:
 
 def model_comparison(spark, folder):
     train, test = ft.train_test_split(_rows(spark, folder, ft.SALES))
-    table = materialise(tr.model_comparison(tr.fit_candidates(train, test, ft.SALES, profile=SMALL_FORESTS)[1]))
+    table = materialise(tr.model_comparison(tr.fit_candidates(train, test, ft.SALES)[1]))
     worse = table.select(F.col("place").alias("p"), F.col("mae").alias("m"))
     ordered = table.join(F.broadcast(worse), F.col("p") == F.col("place") - 1, "left")
     return _sound(table).join(
@@ -199,7 +191,7 @@ def model_comparison(spark, folder):
 def refit_best(spark, folder):
     """The winner among all ten, refitted on all cells, predicting them."""
     rows = _rows(spark, folder, ft.DEMAND)
-    model, _ = tr.refit_best(rows, ft.DEMAND, profile=SMALL_FORESTS)
+    model, _ = tr.refit_best(rows, ft.DEMAND)
     return _judged(model.predict(rows), rows).drop("prediction")
 
 

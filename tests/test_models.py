@@ -11,6 +11,7 @@ from ledgerloom.operators import features as ft
 from ledgerloom.operators import regressors as rg
 from ledgerloom.plans import training as tr
 from ledgerloom.session import materialise, scratch_path
+from tests.conftest import SMALL
 
 TINY = rg.Profile("tiny", trees=4, tree_depth=4, boost_rounds=4, adaboost_rounds=7, max_iter=500, fourier_features=32)
 
@@ -125,3 +126,25 @@ def test_compare_refit_save_load(spark, cells):
 def test_refit_uses_all_rows(cells):
     model, table = tr.refit_best(cells, ft.DEMAND, ("linear", "lasso"), TINY, holdout="time")
     assert model.name == table.orderBy("place").first().model and table.count() == 2
+
+
+def test_registered_queries_fit_at_full_size(spark, monkeypatch):
+    from ledgerloom.plans.catalog import models
+
+    sizes = []
+
+    class Seen(Exception):
+        pass
+
+    def stop(*args, profile=None, **_):
+        sizes.append((profile or next((a for a in args if isinstance(a, rg.Profile)), None)))
+        raise Seen
+
+    for name in ("fit_model", "fit_candidates", "refit_best"):
+        monkeypatch.setattr(models.tr, name, stop)
+    queries = ("model_random_forest", "model_random_cut_forest", "fit_candidates", "model_comparison", "refit_best")
+    for name in queries:
+        with pytest.raises(Seen):
+            models.QUERIES[name](spark, SMALL)
+    assert sizes == [None] * len(queries)  # the default, rg.FULL
+    assert {(p.trees, p.tree_depth) for p in rg.FULL.values()} == {(400, 30), (300, 30)}
