@@ -8,6 +8,7 @@ from ledgerloom.plans.training import fit_model
 from ledgerloom.session import scratch_path
 from ledgerloom.sources.requests import parse_requests, split_requests, to_response
 from ledgerloom.streaming.scoring import request_stream, score_request_stream
+from tests.conftest import SMALL
 
 
 def run(spark, requests, task, model, tables):
@@ -45,3 +46,16 @@ def test_sales_stream(spark, sales):
     assert answered.count() == sales.count()
     good = answered.where("error is null")
     assert good.where(F.get_json_object("response", "$.predicted_sales").isNull()).count() == 0
+
+
+def test_a_wrong_model_fails_the_served_answers(spark, monkeypatch):
+    from ledgerloom.plans.catalog import scoring as catalog
+
+    right = scoring.predict_demand
+
+    def wrong(*args, **options):
+        return right(*args, **options).withColumn("predicted_total_quantity", F.lit(7).cast("bigint"))
+
+    monkeypatch.setattr(catalog.plan, "predict_demand", wrong)
+    got = {r.counted for r in catalog.predict_demand(spark, SMALL).select("counted").distinct().collect()}
+    assert False in got
