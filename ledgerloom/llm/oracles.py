@@ -77,3 +77,47 @@ select conv_id, count(*) as n_turns,
        cast(sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g'))) as bigint) as formatted_chars
 from numbered group by conv_id
 """
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+
+DIVERGENCE_SQL = f"""
+with d as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_TERM}') as w
+  from documents
+),
+tok as (select doc, lang, source, unnest(w) as term from d),
+kept as (
+  select lang, term, cast(count(*) as hugeint) as total from tok group by all having count(distinct doc) >= 3
+),
+grp as (select distinct lang, source from d),
+cnt as (select lang, source, term, cast(count(*) as hugeint) as n from tok join kept using (lang, term) group by all),
+langs as (select lang, count(*) as v, sum(total) as n_lang from kept group by lang),
+sizes as (
+  select g.lang, g.source, coalesce(sum(n), 0) as n_group from grp g left join cnt using (lang, source) group by all
+),
+share as materialized (
+  select s.lang, s.source, k.term, coalesce(c.n, 0) as n,
+         1 + cast(1000000000 as hugeint) * (coalesce(c.n, 0) + 1) // (n_group + v) as p,
+         1 + cast(1000000000 as hugeint) * (k.total + 1) // (n_lang + v) as q
+  from sizes s join kept k using (lang) join langs using (lang)
+  left join cnt c on c.lang = s.lang and c.source = s.source and c.term = k.term
+),
+far as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from share a join share b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(far.value, 0) as value
+  from grp a join grp b on a.lang = b.lang and a.source <> b.source
+  left join far on far.lang = a.lang and far.source = a.source and far.item = b.source
+),
+terms as (select lang, source, term as item, (p - q) * (p - q) // q as value from share where n > 0 and p > q),
+ranked as (
+  select *, 'pair' as part, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select *, 'term' as part, row_number() over (partition by lang, source order by value desc, item) as rank from terms
+)
+select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank
+from ranked where part = 'pair' or rank <= 200
+"""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe, chat, decontaminate, jaccard, oracles, outliers, repair, secrets, sites, suffixes, tagpaths
+from ledgerloom.llm import (
+    bpe, chat, decontaminate, divergence, jaccard, oracles, outliers, repair, secrets, sites, suffixes, tagpaths,
+)
 from ledgerloom.llm.common import table, typed
 from ledgerloom.session import materialise, scratch_path
 
@@ -61,6 +63,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -72,9 +78,11 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op12_source_divergence": op12_source_divergence,
 }
 ORACLES = {
     "op6_chat_events": oracles.CHAT_SQL,
     "op9_jaccard_join": oracles.JACCARD_SQL,
     "op10_decontamination": oracles.DECONTAMINATION_SQL,
+    "op12_source_divergence": oracles.DIVERGENCE_SQL,
 }
