@@ -1,5 +1,7 @@
 """DuckDB texts for the queries that SQL can express."""
 
+from ledgerloom.llm.licenses import BASE_PHRASES, default_templates
+
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -121,3 +123,52 @@ ranked as (
 select lang, source, part, item, cast(value as bigint) as value, cast(rank as int) as rank
 from ranked where part = 'pair' or rank <= 200
 """
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _phrase_places(phrase: str) -> str:
+    words = phrase.split()
+    same = " and ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(words, 1))
+    return f"list_filter(range(greatest(len(w) - {len(words) - 1}, 0)), lambda i: {same})"
+
+
+_TEMPLATE_ROWS = ",\n    ".join(
+    f"({n}, '{t.label}', {_listed(t.words)}, {_listed(t.needed)}, {t.step}, {t.least})" for n, t in enumerate(default_templates())
+)
+_BASES = ", ".join(f"{_phrase_places(phrase)} as b{i}" for i, (_, phrase) in enumerate(BASE_PHRASES))
+_BASE_STARTS = " || ".join(f"b{i}" for i in range(len(BASE_PHRASES)))
+_BASE_LABELS = " || ".join(f"(case when len(b{i}) > 0 then ['{label}'] else [] end)" for i, (label, _) in enumerate(BASE_PHRASES))
+
+LICENSES_SQL = f"""
+with d as (select row_number() over () as doc, doc_id, {_words()} as w from documents),
+t(number, label, tokens, needed, step, least) as (values
+    {_TEMPLATE_ROWS}
+),
+blocks as (
+  select doc, step, b, list_slice(w, b * step + 1, (b + 2) * step) as held
+  from (select doc, w, step, unnest(range((len(w) + step - 1) // step)) as b from d, (select distinct step from t))
+),
+met as (
+  select doc, step, b, number, label, list_filter(tokens, lambda x: list_contains(held, x)) as found, len(tokens) as size, needed
+  from blocks join t using (step) where len(list_filter(tokens, lambda x: list_contains(held, x))) >= least
+),
+fit as (select *, len(found) / size as share from met where list_has_all(found, needed)),
+kept as (
+  select doc, label, share from fit a where not exists (
+    select 1 from fit o where o.doc = a.doc and o.step = a.step and o.b = a.b and list_has_all(o.found, a.found)
+      and (o.share > a.share or (o.share = a.share and len(o.found) > len(a.found)))
+  )
+),
+own as (select doc, list(distinct label) as found_labels, max(share) as share from kept group by doc),
+base as (select doc, doc_id, len(w) as n_words, {_BASES} from d),
+placed as (select doc, doc_id, n_words, {_BASE_STARTS} as starts, {_BASE_LABELS} as labels from base)
+select doc_id, cast(n_words as bigint) as n_words, cast(len(starts) as bigint) as n_base,
+       cast(list_min(starts) as bigint) as first_word, cast(list_max(starts) as bigint) as last_word,
+       array_to_string(list_sort(list_distinct(labels)), ',') as base_labels,
+       array_to_string(list_sort(list_distinct(labels || coalesce(found_labels, []))), ',') as labels,
+       case when len(starts) > 0 then 1e0 else coalesce(share, 0e0) end as score
+from placed left join own using (doc)
+"""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    bpe, chat, decontaminate, divergence, jaccard, oracles, outliers, repair, secrets, sites, suffixes, tagpaths,
+    bpe, chat, decontaminate, divergence, jaccard, licenses, oracles, outliers, repair, secrets, sites, suffixes, tagpaths,
 )
 from ledgerloom.llm.common import table, typed
 from ledgerloom.session import materialise, scratch_path
@@ -63,6 +63,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
@@ -78,11 +82,13 @@ QUERIES = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op11_license_scan": op11_license_scan,
     "op12_source_divergence": op12_source_divergence,
 }
 ORACLES = {
     "op6_chat_events": oracles.CHAT_SQL,
     "op9_jaccard_join": oracles.JACCARD_SQL,
     "op10_decontamination": oracles.DECONTAMINATION_SQL,
+    "op11_license_scan": oracles.LICENSES_SQL,
     "op12_source_divergence": oracles.DIVERGENCE_SQL,
 }
