@@ -190,6 +190,10 @@ class Vocabulary:
         """Ids of pre-tokens that are not in the cache."""
         return [self.merge(w) for w in words]
 
+    def starts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """First bytes of the parts that are encoded on their own."""
+        return pre_token_starts(data, offsets)
+
     def _forget(self) -> None:
         """Empty the cache: sorted hashes of pre-tokens, and where their ids are in one pool."""
         self.keys = np.zeros(0, np.uint64)
@@ -221,11 +225,11 @@ class Vocabulary:
 
     def encode_slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a slice, and the first id's number per text."""
-        starts = pre_token_starts(data, offsets)
+        starts = self.starts(data, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         ends = np.concatenate([starts[1:], [len(data)]])
-        hashes = tv.SpanHashes(data).of(starts, ends)
+        hashes = tv.PrimeHashes(data).of(starts, ends)
         distinct, head, which = np.unique(hashes, return_index=True, return_inverse=True)
         raw = data.tobytes()
         first, last = starts[head], ends[head]

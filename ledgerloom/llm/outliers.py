@@ -78,7 +78,7 @@ def _per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def count_slice(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """The counts of ``_COUNTS_TYPE`` for the texts of one slice."""
     n = len(offsets) - 1
-    hashes = tv.SpanHashes(data)
+    hashes = tv.PrimeHashes(data)
     in_word = tv.SPACES[data]
     starts, ends = tv.runs(in_word, offsets)
     first = np.searchsorted(starts, offsets)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import (
-    bpe, chat, decontaminate, divergence, jaccard, licenses, oracles, outliers, repair, secrets, sites, suffixes, tagpaths,
+    align, bpe, chat, decontaminate, divergence, jaccard, licenses, oracles, outliers, repair, secrets, sites, suffixes, tagpaths,
 )
 from ledgerloom.llm.common import table, typed
 from ledgerloom.session import materialise, scratch_path
@@ -71,6 +71,10 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.alignments(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_secret_scan": op2_secret_scan,
@@ -84,6 +88,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_license_scan": op11_license_scan,
     "op12_source_divergence": op12_source_divergence,
+    "op13_token_alignment": op13_token_alignment,
 }
 ORACLES = {
     "op6_chat_events": oracles.CHAT_SQL,

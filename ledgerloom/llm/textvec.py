@@ -68,7 +68,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHashes:
-    """Hashes of any byte spans of one byte array from one pass over it."""
+    """Hashes of any byte spans of one byte array from one pass over it.
+
+    For short spans: modulo 2**64 some strings of 1,024 bytes collide.
+    """
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
@@ -79,6 +82,52 @@ class SpanHashes:
         return mix((self.sums[ends] - self.sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
 
 
+_PRIMES = (2_147_483_647, 2_147_483_629)
+_BASES = (1_234_821_209, 902_716_343)
+_CHUNK = 1 << 22  # bytes added up before the sum is reduced again
+_prime_powers: dict[tuple[int, bool], np.ndarray] = {}
+
+
+def _powers_of(which: int, n: int, inverse: bool) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo the prime, by doubling."""
+    have = _prime_powers.get((which, inverse))
+    if have is None or len(have) < n:
+        prime = _PRIMES[which]
+        base = pow(_BASES[which], -1 if inverse else 1, prime)
+        have = np.ones(1, np.int64)
+        while len(have) < max(n, SLICE_BYTES + 1):
+            have = np.concatenate([have, have * pow(base, len(have), prime) % prime])
+        if len(have) <= 4 * SLICE_BYTES:
+            _prime_powers[which, inverse] = have
+    return have[:n]
+
+
+class PrimeHashes:
+    """62-bit hashes of any byte spans of one byte array, however long.
+
+    Two polynomials modulo primes: unlike sums modulo a power of two they have
+    no strings that collide whatever the base.
+    """
+
+    def __init__(self, data: np.ndarray):
+        self.sums = []
+        for which, prime in enumerate(_PRIMES):
+            terms = (data.astype(np.int64) + 1) * _powers_of(which, len(data), False)
+            total = np.zeros(len(data) + 1, np.int64)
+            for at in range(0, len(data), _CHUNK):
+                part = terms[at : at + _CHUNK]
+                total[at + 1 : at + 1 + len(part)] = np.cumsum(part) + total[at] % prime
+            self.sums.append(total)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out = []
+        for which, prime in enumerate(_PRIMES):
+            total = self.sums[which]
+            back = _powers_of(which, len(total), True)
+            out.append((total[ends] - total[starts]) % prime * back[starts] % prime)
+        return mix((out[0].astype(np.uint64) << np.uint64(31) | out[1].astype(np.uint64)) ^ mix((ends - starts).astype(np.uint64)))
+
+
 def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the maximal runs of ``inside``, cut at text borders."""
     n = len(inside)
@@ -101,7 +150,7 @@ def owners(counts: np.ndarray) -> np.ndarray:
 def word_hashes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in order, and the first word's number per text."""
     starts, ends = runs(inside[data], offsets)
-    return SpanHashes(data).of(starts, ends), np.searchsorted(starts, offsets)
+    return PrimeHashes(data).of(starts, ends), np.searchsorted(starts, offsets)
 
 
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64) * _P) | np.uint64(1)

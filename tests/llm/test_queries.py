@@ -20,5 +20,5 @@ def test_query(spark, con, name):
 
 def test_one_query_per_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert [int(n[2:].split("_")[0]) for n in names if n in QUERIES] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names if n in QUERIES] == list(range(1, 14))
     assert "pipeline" in entry.queries()
