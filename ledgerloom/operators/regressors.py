@@ -9,23 +9,21 @@ docstrings.
 from __future__ import annotations
 
 import math
-import random
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import Bucketizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (
     DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor, LinearRegression, LinearRegressionModel,
-    RandomForestRegressor,
 )
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.features import Task
+from ledgerloom.operators.forests import ForestModel, fit_forest
 from ledgerloom.operators.neighbours import knn_join
 from ledgerloom.session import materialise
 
@@ -38,18 +36,16 @@ class Profile:
 
     name: str
     trees: int
-    tree_depth: int
+    tree_depth: int | None  # None: trees grow until labels or features are all alike
     boost_rounds: int
     adaboost_rounds: int
     max_iter: int
-    random_cuts: int = 32
     fourier_features: int = 128
 
 
 COMPACT = Profile("compact", trees=20, tree_depth=8, boost_rounds=20, adaboost_rounds=10, max_iter=200)
-# Depth 30 is the deepest tree Spark grows; unlimited depth is not available.
-REFERENCE_DEMAND = Profile("reference", trees=400, tree_depth=30, boost_rounds=100, adaboost_rounds=50, max_iter=20_000)
-REFERENCE_SALES = Profile("reference", trees=300, tree_depth=30, boost_rounds=100, adaboost_rounds=50, max_iter=20_000)
+REFERENCE_DEMAND = Profile("reference", trees=400, tree_depth=None, boost_rounds=100, adaboost_rounds=50, max_iter=20_000)
+REFERENCE_SALES = Profile("reference", trees=300, tree_depth=None, boost_rounds=100, adaboost_rounds=50, max_iter=20_000)
 
 # The default is the full size.
 FULL = {"demand": REFERENCE_DEMAND, "sales": REFERENCE_SALES}
@@ -83,33 +79,6 @@ class SparkModel:
         return cls(PipelineModel.load(f"{path}/model"))
 
 
-class AveragedModel:
-    """The mean over several pipelines."""
-
-    kind = "averaged"
-
-    def __init__(self, models: list[PipelineModel]):
-        self.models = models
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        out = df
-        for i, model in enumerate(self.models):
-            out = model.transform(out).withColumnRenamed("prediction", f"_p{i}").select(
-                *df.columns, *[f"_p{j}" for j in range(i + 1)]
-            )
-        total = sum((F.col(f"_p{i}") for i in range(len(self.models))), F.lit(0.0))
-        return out.select(*df.columns, (total / F.lit(float(len(self.models)))).alias("prediction"))
-
-    def save(self, path: str) -> dict:
-        for i, model in enumerate(self.models):
-            model.write().overwrite().save(f"{path}/part-{i}")
-        return {"parts": len(self.models)}
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, meta: dict) -> "AveragedModel":
-        return cls([PipelineModel.load(f"{path}/part-{i}") for i in range(meta["parts"])])
-
-
 class BoostedModel:
     """Trees with vote weights; the answer is the weighted median of their predictions."""
 
@@ -199,7 +168,7 @@ class FourierModel:
         return cls(LinearRegressionModel.load(f"{path}/model"), meta["width"], meta["gamma"], meta["size"])
 
 
-KINDS = {c.kind: c for c in (SparkModel, AveragedModel, BoostedModel, NeighbourModel, FourierModel)}
+KINDS = {c.kind: c for c in (SparkModel, ForestModel, BoostedModel, NeighbourModel, FourierModel)}
 
 
 def side_by_side(work, items, parallelism: int = 4) -> list:
@@ -255,35 +224,13 @@ def fit_elastic_net(train: DataFrame, task: Task, profile: Profile) -> SparkMode
     return _fit_linear(train, profile, flat + square, flat / (flat + square))
 
 
-def fit_random_forest(train: DataFrame, task: Task, profile: Profile) -> SparkModel:
-    forest = RandomForestRegressor(
-        numTrees=profile.trees, maxDepth=profile.tree_depth, featureSubsetStrategy="all", seed=SEED, maxBins=64
-    )
-    return SparkModel(Pipeline(stages=[forest]).fit(train))
-
-
-def fit_random_cut_forest(train: DataFrame, task: Task, profile: Profile) -> AveragedModel:
-    """Extremely randomised trees: each tree sees its numbers through its own
-    random cut points. The cuts are drawn per tree, not per node."""
-    bounds = train.agg(*[F.struct(F.min(c), F.max(c)).alias(c) for c in task.nums]).first()
-
-    def fit_tree(i: int) -> PipelineModel:
-        rng = random.Random(SEED + i)
-        varied, splits = [], []
-        for c in task.nums:
-            low, high = bounds[c]
-            if low is not None and low < high:
-                inner = sorted({rng.uniform(low, high) for _ in range(profile.random_cuts)})
-                varied.append(c)
-                splits.append([-math.inf, *inner, math.inf])
-        cut = Bucketizer(inputCols=varied, outputCols=[f"{c}_cut" for c in varied], splitsArray=splits, handleInvalid="keep")
-        joined = VectorAssembler(inputCols=[f"{c}_cut" for c in varied] + ["onehot"], outputCol="cut_features")
-        tree = DecisionTreeRegressor(
-            featuresCol="cut_features", maxDepth=profile.tree_depth, maxBins=profile.random_cuts + 2, seed=SEED + i
-        )
-        return Pipeline(stages=[cut, joined, tree]).fit(train)
+def fit_random_forest(train: DataFrame, task: Task, profile: Profile) -> ForestModel:
+    return fit_forest(train, task.cats, task.nums, profile.trees, profile.tree_depth, seed=SEED)
+
 
-    return AveragedModel(side_by_side(fit_tree, range(profile.trees)))
+def fit_random_cut_forest(train: DataFrame, task: Task, profile: Profile) -> ForestModel:
+    """Extremely randomised trees: a cut point is drawn per node and number."""
+    return fit_forest(train, task.cats, task.nums, profile.trees, profile.tree_depth, seed=SEED, random_cuts=True)
 
 
 def fit_gbt(train: DataFrame, task: Task, profile: Profile) -> SparkModel:

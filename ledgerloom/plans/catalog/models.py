@@ -116,7 +116,16 @@ def _model_query(name: str):
     return query
 
 
+def model_random_cut_forest(spark, folder):
+    """Training rows. Every tree has all of them and is grown to the end, so a
+    row's prediction is the mean label of the rows with its features."""
+    train, _ = ft.train_test_split(_rows(spark, folder, ft.SALES))
+    model = tr.fit_model(train, ft.SALES, "random_cut_forest")
+    return model.predict(train).select("row_key", "label", fixed4("prediction").alias("prediction"))
+
+
 LINEAR = ("linear", "ridge", "lasso", "elastic_net")
+OWN = ("knn", "random_cut_forest")
 GRADIENT_SLACK = 1e-3
 
 
@@ -218,7 +227,8 @@ QUERIES = {
     for f in (
         demand_training_set, sales_training_set, train_test_split, feature_pipeline, error_metrics, best_model,
         comparison_pick, write_comparison, knn_join, model_knn, model_knn_demand,
-        *[(_linear_query if name in LINEAR else _model_query)(name) for name in rg.CANDIDATES if name != "knn"],
+        *[(_linear_query if name in LINEAR else _model_query)(name) for name in rg.CANDIDATES if name not in OWN],
+        model_random_cut_forest,
         fit_candidates, model_comparison, refit_best, save_load_model,
     )
 }
@@ -321,8 +331,13 @@ ORACLES = {
     **{
         f"model_{name}": with_sales(LINES_SQL, "select row_key, label, true as inside, true as skilled from lines where in_test")
         for name in rg.CANDIDATES
-        if name not in (*LINEAR, "knn")
+        if name not in (*LINEAR, *OWN)
     },
+    "model_random_cut_forest": with_sales(
+        LINES_SQL,
+        f"""select row_key, label, {sql_fixed4(f"avg(label) over (partition by {', '.join((*_CATS, *_NUMS))})")} as prediction
+           from lines where not in_test""",
+    ),
     "fit_candidates": f"select 'demand' as task, unnest([{_MODELS}]) as model, true as sound",
     "model_comparison": f"select 'sales' as task, unnest([{_MODELS}]) as model, true as sound, true as ordered, true as placed",
     "refit_best": with_sales(CELL_SET_SQL, "select row_key, label, true as inside, true as skilled from cell_set"),

@@ -19,25 +19,24 @@ from ledgerloom.operators.features import TASKS, Task, feature_pipeline, train_t
 class TaskModel:
     """A fitted regressor with the feature preparation it was trained on."""
 
-    def __init__(self, task: Task, name: str, prepared: PipelineModel, core):
-        self.task, self.name, self.prepared, self.core = task, name, prepared, core
+    def __init__(self, spark: SparkSession, task: Task, name: str, prepared: PipelineModel, core):
+        self.spark, self.task, self.name, self.prepared, self.core = spark, task, name, prepared, core
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``; needs ``row_key`` and the task's columns."""
-        ready = _vectors(self.prepared, df, self.task)
+        ready = _vectors(self.prepared, df, self.task) if getattr(self.core, "needs_vectors", True) else df
         return self.core.predict(ready).select(*df.columns, "prediction")
 
     def save(self, path: str) -> None:
         self.prepared.write().overwrite().save(f"{path}/prepared")
         meta = {"task": self.task.name, "name": self.name, "kind": self.core.kind, "core": self.core.save(f"{path}/core")}
-        spark = SparkSession.getActiveSession()
-        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TaskModel":
         meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
         core = rg.KINDS[meta["kind"]].load(spark, f"{path}/core", meta["core"])
-        return cls(TASKS[meta["task"]], meta["name"], PipelineModel.load(f"{path}/prepared"), core)
+        return cls(spark, TASKS[meta["task"]], meta["name"], PipelineModel.load(f"{path}/prepared"), core)
 
 
 def _vectors(prepared: PipelineModel, df: DataFrame, task: Task) -> DataFrame:
@@ -53,7 +52,7 @@ def fit_model(train: DataFrame, task: Task, name: str, profile: rg.Profile | Non
     prepared = feature_pipeline(task.cats, task.nums).fit(train)
     ready = _vectors(prepared, train, task).persist()
     try:
-        return TaskModel(task, name, prepared, rg.CANDIDATES[name](ready, task, profile))
+        return TaskModel(train.sparkSession, task, name, prepared, rg.CANDIDATES[name](ready, task, profile))
     finally:
         ready.unpersist()
 
@@ -72,7 +71,7 @@ def fit_candidates(
         cores = rg.side_by_side(lambda name: rg.CANDIDATES[name](ready, task, profile), names)
     finally:
         ready.unpersist()
-    models = {name: TaskModel(task, name, prepared, core) for name, core in zip(names, cores)}
+    models = {name: TaskModel(train.sparkSession, task, name, prepared, core) for name, core in zip(names, cores)}
     rows = rg.side_by_side(
         lambda name: error_metrics(models[name].predict(test)).select(
             F.lit(task.name).alias("task"),
