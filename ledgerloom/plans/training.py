@@ -17,7 +17,12 @@ from ledgerloom.operators.features import TASKS, Task, feature_pipeline, train_t
 
 
 class TaskModel:
-    """A fitted regressor with the feature preparation it was trained on."""
+    """A fitted regressor with the feature preparation it was trained on.
+
+    ``version`` names a published model's version.
+    """
+
+    version: str | None = None
 
     def __init__(self, spark: SparkSession, task: Task, name: str, prepared: PipelineModel, core):
         self.spark, self.task, self.name, self.prepared, self.core = spark, task, name, prepared, core
