@@ -76,7 +76,7 @@ def test_reports(spark):
     assert sg.median_margin_by_category(df).collect()[0].median_margin == pytest.approx(3 / 19)
 
 
-def _check_quantiles(spark, accuracy, sizes=(1, 2, 7, 400, 6000)):
+def _check_quantiles(spark, held, bins, sizes=(1, 2, 7, 400, 6000)):
     rng = np.random.default_rng(5)
     rows, want = [], {}
     probs = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -85,20 +85,33 @@ def _check_quantiles(spark, accuracy, sizes=(1, 2, 7, 400, 6000)):
         rows += [(size, float(a), float(b)) for a, b in zip(smooth, lumpy)]
         want[size, "a"], want[size, "b"] = np.quantile(smooth, probs), np.quantile(lumpy, probs)
     df = spark.createDataFrame(rows, "k int, a double, b double").repartition(5)
-    got = qt.exact_quantiles(df, ["k"], {"a": F.col("a"), "b": F.col("b")}, probs, accuracy).collect()
+    got = qt.exact_quantiles(df, ["k"], {"a": F.col("a"), "b": F.col("b")}, probs, held, bins).collect()
     assert len(got) == 2 * len(sizes)
     for r in got:
         np.testing.assert_allclose(r.q, want[r.k, r.measure], rtol=1e-12)
 
 
 def test_quantiles_whole_groups(spark):
-    _check_quantiles(spark, 10_000)
+    _check_quantiles(spark, 10_000, 4_096)
 
 
 def test_quantiles_by_brackets(spark):
-    _check_quantiles(spark, 500)
+    _check_quantiles(spark, 500, 64)
 
 
-def test_quantiles_survive_a_bracket_that_misses(spark, monkeypatch):
-    monkeypatch.setattr(qt, "_SLACK", 0.02)
-    _check_quantiles(spark, 20, sizes=(5000,))
+def test_quantiles_narrowed_to_single_values(spark):
+    _check_quantiles(spark, 1, 5, sizes=(3, 700))
+
+
+def test_quantiles_of_a_million_distinct_values(spark):
+    df = spark.range(1_000_000).select(F.lit("k").alias("k"), (F.col("id") * F.lit(0.125) + F.pow(F.lit(1.00002), F.col("id"))).alias("x"))
+    x = np.arange(1_000_000) * 0.125 + np.power(1.00002, np.arange(1_000_000))
+    (got,) = qt.exact_quantiles(df, ["k"], {"x": F.col("x")}, (0.1, 0.5, 0.99)).collect()
+    np.testing.assert_allclose(got.q, np.quantile(x, (0.1, 0.5, 0.99)), rtol=1e-9)
+
+
+def test_quantiles_of_wide_ranges_and_ends_without_number(spark):
+    rows = [1e308, -1e308, 0.0, 1e-300, 2e-300, 3e-300, float("inf"), float("-inf"), 5.0, 5.0, 5.0]
+    df = spark.createDataFrame([("k", v) for v in rows] + [("z", None)], "k string, x double")
+    (got,) = qt.exact_quantiles(df, ["k"], {"x": F.col("x")}, (0.1, 0.2, 0.3, 0.4, 0.5, 0.9), 1, 2).collect()
+    assert got.q == [sorted(rows)[i] for i in (1, 2, 3, 4, 5, 9)]
