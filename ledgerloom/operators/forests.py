@@ -72,7 +72,28 @@ _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 18)]))
 
 def row_weights(seed: int, tree: int, rows: np.ndarray) -> np.ndarray:
     """How often each row is drawn into a tree's sample."""
-    return np.searchsorted(_POISSON, _uniform(seed, tree, rows), "right").astype(np.uint8)
+    return np.searchsorted(_POISSON, _uniform(seed, tree, rows), "right").astype(np.uint32)
+
+
+def resampled(seed: int, turn: int, rows: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """How often each row is drawn when its expected count is given: Poisson draws, rounded normal ones beyond 32."""
+    u = _uniform(seed, turn, rows)
+    many = expected > 32
+    left = np.where(many, 0.0, expected)
+    out = np.zeros(len(rows), np.int64)
+    chance = np.exp(-left)
+    reached = chance.copy()
+    k = 0
+    while (open_ := (u >= reached) & ~many & (k < 200)).any():
+        k += 1
+        out += open_
+        chance = chance * left / k
+        reached = reached + chance
+    if many.any():
+        radius = np.sqrt(-2 * np.log(1 - u[many]))
+        turned = radius * np.cos(2 * np.pi * _uniform(seed, turn, rows[many], 1))
+        out[many] = np.maximum(np.rint(expected[many] + np.sqrt(expected[many]) * turned), 0).astype(np.int64)
+    return out.astype(np.uint32)
 
 
 @dataclass(frozen=True)
@@ -350,11 +371,16 @@ def walk(piece: Piece, raw: np.ndarray, n_cats: int) -> np.ndarray:
 
 
 class Top:
-    """The nodes of one tree above its pieces, by id. A node without a split is an entry."""
+    """The nodes of one tree above its pieces, by id.
+
+    A node without a split is an entry: its piece is grown apart, or it is a
+    leaf whose value is known here.
+    """
 
     def __init__(self, tree: int):
         self.tree = tree
         self.splits: dict[int, tuple] = {}  # id: feature, threshold, last code, codes to the left, left id, right id
+        self.values: dict[int, float] = {}
 
     def entries(self, codes: np.ndarray, raw: np.ndarray | None = None, n_cats: int = 0) -> np.ndarray:
         """The id of the entry each row reaches, by codes or by raw features."""
@@ -379,12 +405,13 @@ class Top:
             todo += [(left, rows[goes]), (right, rows[~goes])]
 
     def told(self) -> list:
-        return [self.tree, [[n, *s[:3], None if s[3] is None else list(map(int, s[3])), *s[4:]] for n, s in self.splits.items()]]
+        return [self.tree, [[n, *s[:3], None if s[3] is None else list(map(int, s[3])), *s[4:]] for n, s in self.splits.items()], list(self.values.items())]
 
     @classmethod
     def read(cls, told: list) -> "Top":
         top = cls(told[0])
         top.splits = {n: (f, t, c, None if codes is None else np.array(codes), left, right) for n, f, t, c, codes, left, right in told[1]}
+        top.values = dict(map(tuple, told[2]))
         return top
 
 
@@ -394,6 +421,17 @@ def _matrix(batch: pa.RecordBatch, width: int):
     return rows, codes, batch.column("label").to_numpy(zero_copy_only=False)
 
 
+def _weigher(seed: int, bootstrap: bool):
+    """How often each row of a batch counts in a tree: as the table says, drawn, or once."""
+
+    def weigh(tree: int, rows: np.ndarray, batch: pa.RecordBatch) -> np.ndarray:
+        if "draws" in batch.schema.names:
+            return batch.column("draws").to_numpy(zero_copy_only=False).astype(np.uint32)
+        return row_weights(seed, tree, rows) if bootstrap else np.ones(len(rows), np.uint32)
+
+    return weigh
+
+
 def _coded(train: DataFrame, coder: Coder) -> DataFrame:
     names = [*coder.cats, *coder.nums]
 
@@ -420,6 +458,7 @@ def _level_sums(coder: Coder, tops: dict[int, Top], wide: dict[int, list[int]],
     """Per (tree, node, feature, bin): weight, sum and distinct rows, added up within a task."""
     counts, ends = _bins(coder)
     offsets = np.concatenate([[0], np.cumsum(counts)])
+    weigh = _weigher(seed, bootstrap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = {t: np.zeros((3, len(ids) * offsets[-1])) for t, ids in wide.items()}
@@ -427,7 +466,7 @@ def _level_sums(coder: Coder, tops: dict[int, Top], wide: dict[int, list[int]],
             rows, codes, label = _matrix(batch, len(counts))
             binned = np.stack([np.searchsorted(ends[f], codes[:, f]) for f in range(len(counts))], axis=1) + offsets[:-1]
             for t, ids in wide.items():
-                w = row_weights(seed, t, rows) if bootstrap else np.ones(len(rows), np.uint8)
+                w = weigh(t, rows, batch)
                 at = tops[t].entries(codes)
                 known = np.array(sorted(ids), np.uint64)
                 place = np.minimum(np.searchsorted(known, at), len(known) - 1)
@@ -462,7 +501,9 @@ def _level_splits(coder: Coder, seed: int, random_cuts: bool):
         f, b, w, s = (table.column(c).to_numpy() for c in ("feature", "bin", "w", "s"))
         n = table.column("n").to_numpy()
         # The bins as rows of one node each: a bin of a feature stands for its last code.
-        best = (-np.inf, -1, 0.0, 0, None, 0)
+        best = (-np.inf, -1, 0.0, 0, None, 0, 0.0, 0.0)
+        first = f == f.min()
+        mean = s[first].sum() / w[first].sum()
         for i in range(len(ends)):
             here = np.flatnonzero(f == i)
             here = here[np.argsort(b[here])]
@@ -487,32 +528,37 @@ def _level_splits(coder: Coder, seed: int, random_cuts: bool):
             if score <= best[0] * (1 + TIE):
                 continue
             k = next(j for j, gain in zip(candidates, gains, strict=True) if gain >= score * (1 - TIE))
+            means = mean + sl[k] / wl[k], mean - sl[k] / (total_w - wl[k])
             if is_cat:
                 left = code[k : k + 1] if random_cuts else code[: k + 1]
-                best = (score, i, 0.0, 0, [int(c) for c in left], int(nl[k]))
+                best = (score, i, 0.0, 0, [int(c) for c in left], int(nl[k]), *means)
             else:
                 values = coder.values[i - len(coder.cats)]
-                above = values[code[k] + 1 : code[k] + 2][0]
-                threshold = (cut if cut < above else values[code[k]]) if random_cuts else float(_between(values[code[k] : code[k] + 1], values[code[k] + 1 : code[k] + 2])[0])
-                best = (score, i, float(threshold), int(code[k]), None, int(nl[k]))
-        first = f == f.min()
+                # The next bin that occurs begins behind the one before it.
+                bins = b[here]
+                above = values[ends[i][bins[k + 1] - 1] + 1]
+                middle = float(_between(values[[code[k]]], values[[ends[i][bins[k + 1] - 1] + 1]])[0])
+                threshold = (cut if cut < above else values[code[k]]) if random_cuts else middle
+                best = (score, i, float(threshold), int(code[k]), None, int(nl[k]), *means)
         return pa.table(
             {"tree": [tree], "node": [name], "feature": [best[1]], "threshold": [best[2]], "last_code": [best[3]],
-             "codes": pa.array([best[4]], pa.list_(pa.int32())), "n": [int(n[first].sum())], "n_left": [best[5]]},
+             "codes": pa.array([best[4]], pa.list_(pa.int32())), "n": [int(n[first].sum())], "n_left": [best[5]], "mean": [mean], "left_mean": [best[6]], "right_mean": [best[7]]},
             schema=pa.schema([("tree", pa.int32()), ("node", pa.int64()), ("feature", pa.int32()), ("threshold", pa.float64()),
-                              ("last_code", pa.int64()), ("codes", pa.list_(pa.int32())), ("n", pa.int64()), ("n_left", pa.int64())]),
+                              ("last_code", pa.int64()), ("codes", pa.list_(pa.int32())), ("n", pa.int64()), ("n_left", pa.int64()),
+                              ("mean", pa.float64()), ("left_mean", pa.float64()), ("right_mean", pa.float64())]),
         )
 
     return run
 
 
-_SPLIT = "tree int, node bigint, feature int, threshold double, last_code bigint, codes array<int>, n bigint, n_left bigint"
+_SPLIT = """tree int, node bigint, feature int, threshold double, last_code bigint, codes array<int>, n bigint, n_left bigint,
+    mean double, left_mean double, right_mean double"""
 
 
-def _grow_tops(coded: DataFrame, coder: Coder, trees: int, depth: int, seed: int, bootstrap: bool, random_cuts: bool) -> dict[int, Top]:
+def _grow_tops(coded: DataFrame, coder: Coder, trees: int, depth: int, seed: int, bootstrap: bool, random_cuts: bool, only: int | None = None) -> dict[int, Top]:
     """Split the nodes with more than LOCAL_ROWS rows, one pass per level and block of trees."""
-    tops = {t: Top(t) for t in range(trees)}
-    wide = {t: [t] for t in range(trees)} if depth > 0 and coded.count() > LOCAL_ROWS else {}
+    tops = {t: Top(t) for t in (range(trees) if only is None else [only])}
+    wide = {t: [t] for t in tops} if depth > 0 and coded.count() > LOCAL_ROWS else {}
     width = sum(_bins(coder)[0]) * 24
     while wide and depth > 0:
         depth -= 1
@@ -531,12 +577,17 @@ def _grow_tops(coded: DataFrame, coder: Coder, trees: int, depth: int, seed: int
             )
             sums = sums.groupBy("tree", "node", "feature", "bin").agg(*[F.sum(c).alias(c) for c in ("w", "s", "n")])
             for r in sums.groupBy("tree", "node").applyInArrow(_level_splits(coder, seed, random_cuts), _SPLIT).collect():
-                if r["n"] <= LOCAL_ROWS or r["feature"] < 0:
-                    continue
                 name = r["node"] % (1 << 64)
+                if r["n"] <= LOCAL_ROWS:
+                    continue
+                if r["feature"] < 0:
+                    tops[r["tree"]].values[name] = r["mean"]
+                    continue
                 left, right = (int(x) for x in child_names(np.array([name], np.uint64)))
                 codes = None if r["codes"] is None else np.array(r["codes"])
                 tops[r["tree"]].splits[name] = (r["feature"], r["threshold"], r["last_code"], codes, left, right)
+                if depth == 0:
+                    tops[r["tree"]].values |= {left: r["left_mean"], right: r["right_mean"]}
                 grown.setdefault(r["tree"], []).extend(
                     child for child, n in ((left, r["n_left"]), (right, r["n"] - r["n_left"])) if n > LOCAL_ROWS
                 )
@@ -550,17 +601,18 @@ def _grow_tops(coded: DataFrame, coder: Coder, trees: int, depth: int, seed: int
 def _dealt(coder: Coder, tops: list[Top], seed: int, bootstrap: bool):
     """Rows packed by the entry they reach: one record per (tree, entry) and batch."""
     width = len(coder.sizes)
+    weigh = _weigher(seed, bootstrap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, codes, label = _matrix(batch, width)
             trees, entries, packed = [], [], []
             for top in tops:
-                w = row_weights(seed, top.tree, rows) if bootstrap else np.ones(len(rows), np.uint8)
+                w = weigh(top.tree, rows, batch)
                 at = top.entries(codes) if top.splits else np.full(len(rows), top.tree, np.uint64)
                 for name in np.unique(at):
                     here = np.flatnonzero((at == name) & (w > 0))
-                    if not len(here):
+                    if not len(here) or int(name) in top.values:
                         continue
                     trees.append(top.tree)
                     entries.append(name.astype(np.int64))
@@ -580,10 +632,10 @@ def _finished(coder: Coder, depths: dict[int, int], depth: int, seed: int, rando
         tree, entry = (k.as_py() for k in key)
         parts = []
         for p in table.column("packed").to_pylist():
-            n = len(p) // (17 + 2 * width)
+            n = len(p) // (20 + 2 * width)
             parts.append((
                 np.frombuffer(p, np.int64, n), np.frombuffer(p, np.float64, n, 8 * n),
-                np.frombuffer(p, np.uint16, n * width, 16 * n).reshape(n, width), np.frombuffer(p, np.uint8, n, (16 + 2 * width) * n),
+                np.frombuffer(p, np.uint16, n * width, 16 * n).reshape(n, width), np.frombuffer(p, np.uint32, n, (16 + 2 * width) * n),
             ))
         rows, label, codes, w = (np.concatenate(x) for x in zip(*parts, strict=True))
         # Sums must not depend on the order in which batches arrive.
@@ -633,6 +685,46 @@ def fit_forest(
     return ForestModel(coder, [t for t in tops.values()], pieces)
 
 
+@dataclass
+class Tree:
+    """One small tree, held by the driver."""
+
+    top: Top
+    pieces: dict[int, Piece]
+
+    def predict(self, raw: np.ndarray, n_cats: int) -> np.ndarray:
+        at = self.top.entries(raw, raw, n_cats)
+        out = np.zeros(len(raw))
+        for name, value in self.top.values.items():
+            out[at == np.uint64(name)] = value
+        for name, piece in self.pieces.items():
+            rows = np.flatnonzero(at == np.uint64(name))
+            out[rows] = walk(piece, raw[rows], n_cats)
+        return out
+
+    def told(self) -> list:
+        """What JSON can hold of it."""
+        return [self.top.told(), [[n, *[x.tolist() for x in (p.feature, p.number, p.left, p.sets)]] for n, p in self.pieces.items()]]
+
+    @classmethod
+    def read(cls, told: list) -> "Tree":
+        kinds = (np.uint8, np.float64, np.int32, np.int64)
+        return cls(Top.read(told[0]), {n: Piece(*[np.array(x, k) for x, k in zip(p, kinds, strict=True)]) for n, *p in told[1]})
+
+
+def grow_tree(coded: DataFrame, coder: Coder, depth: int, *, seed: int = 42, tree: int = 0) -> Tree:
+    """One shallow tree on a coded table whose ``draws`` say how often each row counts."""
+    top = _grow_tops(coded, coder, tree + 1, depth, seed, False, False, only=tree)[tree]
+    dealt = coded.mapInArrow(_dealt(coder, [top], seed, False), "tree int, entry bigint, packed binary")
+    grown = dealt.groupBy("tree", "entry").applyInArrow(_finished(coder, _depths({tree: top}), depth, seed, False), _PIECE)
+    pieces = {}
+    for r in grown.collect():
+        pieces[r["entry"] % (1 << 64)] = Piece(
+            np.frombuffer(r["feature"], np.uint8), np.frombuffer(r["number"]), np.frombuffer(r["left"], np.int32), np.frombuffer(r["sets"], np.int64)
+        )
+    return Tree(top, pieces)
+
+
 class ForestModel:
     """The mean over the trees of a written table of pieces."""
 
@@ -653,7 +745,7 @@ class ForestModel:
                 room = BLOCK_BYTES
             out[-1].append((r["tree"], r["entry"]))
             room -= r["size"]
-        return out
+        return out or [[(0, 0)]]
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``prediction``. Each pass but the last writes the sum so far."""
@@ -661,13 +753,14 @@ class ForestModel:
         total = _free("total", df.columns)
         out = df.withColumn(total, F.lit(0.0))
         for i, block in enumerate(blocks):
-            out = out.withColumn(total, F.col(total) + self._block_sum(df.sparkSession, block))
+            known = [t for t in self.tops if t.values] if i == 0 else []
+            out = out.withColumn(total, F.col(total) + self._block_sum(df.sparkSession, block, known))
             if i + 1 < len(blocks):
                 out = materialise(out)
         return out.select(*df.columns, (F.col(total) / len(self.tops)).alias("prediction"))
 
-    def _block_sum(self, spark: SparkSession, block: list[tuple[int, int]]):
-        """The sum of the leaf values in one block's pieces, for each row."""
+    def _block_sum(self, spark: SparkSession, block: list[tuple[int, int]], known: list[Top]):
+        """The sum of the leaf values in one block's pieces, and of those known above them, for each row."""
         (first_tree, first), (last_tree, last) = block[0], block[-1]
         after = (F.col("tree") > first_tree) | ((F.col("tree") == first_tree) & (F.col("entry") >= first))
         until = (F.col("tree") < last_tree) | ((F.col("tree") == last_tree) & (F.col("entry") <= last))
@@ -690,13 +783,16 @@ class ForestModel:
                     reached = {tree: tops[tree].entries(raw, raw, len(coder.cats))}
                 rows = np.flatnonzero(reached[tree] == np.uint64(entry % (1 << 64)))
                 total[rows] += walk(piece, raw[rows], len(coder.cats))
+            for top in known:
+                at = top.entries(raw, raw, len(coder.cats))
+                for name, value in top.values.items():
+                    total[at == np.uint64(name)] += value
             return pa.array(total)
 
         return F.arrow_udf(walked, "double")(*coder.cats, *coder.nums)
 
-    def save(self, path: str) -> dict:
+    def save(self, path: str, spark: SparkSession) -> dict:
         """Writes the pieces and what is needed to enter them."""
-        spark = self.pieces.sparkSession
         self.pieces.write.mode("overwrite").parquet(f"{path}/pieces")
         lines = [(json.dumps(["labels", list(x)]),) for x in self.coder.labels]
         lines += [(json.dumps(["values", x.tolist()]),) for x in self.coder.values]

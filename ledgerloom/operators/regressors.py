@@ -16,13 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import (
-    DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressor, LinearRegression, LinearRegressionModel,
-)
+from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.features import Task
+from ledgerloom.operators.boosting import BoostedModel, fit_adaboost
 from ledgerloom.operators.forests import ForestModel, fit_forest
 from ledgerloom.operators.neighbours import knn_join
 from ledgerloom.session import materialise
@@ -70,7 +69,7 @@ class SparkModel:
     def predict(self, df: DataFrame) -> DataFrame:
         return self.model.transform(df).select(*df.columns, "prediction")
 
-    def save(self, path: str) -> dict:
+    def save(self, path: str, spark: SparkSession) -> dict:
         self.model.write().overwrite().save(f"{path}/model")
         return {}
 
@@ -79,47 +78,6 @@ class SparkModel:
         return cls(PipelineModel.load(f"{path}/model"))
 
 
-class BoostedModel:
-    """Trees with vote weights; the answer is the weighted median of their predictions."""
-
-    kind = "boosted"
-
-    def __init__(self, trees: list[DecisionTreeRegressionModel], votes: list[float]):
-        self.trees, self.votes = trees, votes
-
-    def predict(self, df: DataFrame) -> DataFrame:
-        out = df
-        for i, tree in enumerate(self.trees):
-            out = tree.setPredictionCol(f"_p{i}").transform(out)
-        ballots = F.array_sort(
-            F.array(
-                *[
-                    F.struct(F.col(f"_p{i}").alias("p"), F.lit(i).alias("i"), F.lit(float(v)).alias("v"))
-                    for i, v in enumerate(self.votes)
-                ]
-            )
-        )
-        half = F.lit(0.5 * sum(self.votes))
-        start = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("double").alias("p"))
-
-        def count(acc, b):
-            seen = acc["seen"] + b["v"]
-            reached = F.when(acc["p"].isNull() & (seen >= half - F.lit(1e-12)), b["p"]).otherwise(acc["p"])
-            return F.struct(seen.alias("seen"), reached.alias("p"))
-
-        return out.select(*df.columns, F.aggregate(ballots, start, count, lambda acc: acc["p"]).alias("prediction"))
-
-    def save(self, path: str) -> dict:
-        for i, tree in enumerate(self.trees):
-            tree.write().overwrite().save(f"{path}/part-{i}")
-        return {"votes": self.votes}
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str, meta: dict) -> "BoostedModel":
-        trees = [DecisionTreeRegressionModel.load(f"{path}/part-{i}") for i in range(len(meta["votes"]))]
-        return cls(trees, meta["votes"])
-
-
 class NeighbourModel:
     """The training rows themselves; a prediction is the mean label of the nearest."""
 
@@ -138,7 +96,7 @@ class NeighbourModel:
     def _keyed(self) -> DataFrame:
         return self.rows.select("row_key", *self.cats, *self.nums, "label")
 
-    def save(self, path: str) -> dict:
+    def save(self, path: str, spark: SparkSession) -> dict:
         self.rows.write.mode("overwrite").parquet(f"{path}/rows")
         return {"cats": self.cats, "nums": self.nums, "k": self.k}
 
@@ -159,7 +117,7 @@ class FourierModel:
         mapped = with_fourier_features(df, self.width, self.gamma, self.size)
         return self.linear.transform(mapped).select(*df.columns, "prediction")
 
-    def save(self, path: str) -> dict:
+    def save(self, path: str, spark: SparkSession) -> dict:
         self.linear.write().overwrite().save(f"{path}/model")
         return {"width": self.width, "gamma": self.gamma, "size": self.size}
 
@@ -239,35 +197,8 @@ def fit_gbt(train: DataFrame, task: Task, profile: Profile) -> SparkModel:
 
 
 def fit_adaboost_r2(train: DataFrame, task: Task, profile: Profile) -> BoostedModel:
-    """AdaBoost.R2 with linear loss. Rows are re-weighted where the usual
-    library draws a weighted resample. The growing chain of weights is cut into
-    a written table every few rounds."""
-    state = train.withColumn("_w", F.lit(1.0))
-    trees, votes = [], []
-    for i in range(profile.adaboost_rounds):
-        tree = DecisionTreeRegressor(maxDepth=BOOST_DEPTH, weightCol="_w", seed=SEED + i, maxBins=64).fit(state)
-        scored = tree.transform(state)
-        error = F.abs(F.col("prediction") - F.col("label"))
-        seen = scored.agg(
-            F.max(error).alias("worst"), F.sum(error * F.col("_w")).alias("missed"), F.sum("_w").alias("weight"),
-            F.count(F.lit(1)).alias("n"),
-        ).first()
-        if not seen["worst"]:
-            trees, votes = trees + [tree], votes + [1.0]
-            break
-        loss = seen["missed"] / seen["worst"] / seen["weight"]
-        if loss >= 0.5:
-            if not trees:
-                trees, votes = [tree], [1.0]
-            break
-        beta = loss / (1.0 - loss)
-        trees.append(tree)
-        votes.append(math.log(1.0 / beta))
-        kept = F.col("_w") * F.pow(F.lit(beta), F.lit(1.0) - error / F.lit(seen["worst"]))
-        state = scored.withColumn("_w", kept * F.lit(seen["n"] / seen["weight"])).drop("prediction")
-        if i % 5 == 4:
-            state = materialise(state)
-    return BoostedModel(trees, votes)
+    """AdaBoost.R2 with linear loss on weighted resamples."""
+    return fit_adaboost(train, task.cats, task.nums, profile.adaboost_rounds, BOOST_DEPTH, seed=SEED)
 
 
 def fit_knn(train: DataFrame, task: Task, profile: Profile) -> NeighbourModel:

@@ -34,7 +34,7 @@ class TaskModel:
 
     def save(self, path: str) -> None:
         self.prepared.write().overwrite().save(f"{path}/prepared")
-        meta = {"task": self.task.name, "name": self.name, "kind": self.core.kind, "core": self.core.save(f"{path}/core")}
+        meta = {"task": self.task.name, "name": self.name, "kind": self.core.kind, "core": self.core.save(f"{path}/core", self.spark)}
         self.spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @classmethod

@@ -135,7 +135,7 @@ def test_upper_levels_split_like_the_lower_ones(spark, monkeypatch, random_cuts)
     assert all(len(t.splits) > 5 for t in cut.tops) and not any(t.splits for t in whole.tops)
     assert len(cut.blocks()) > 3
     path = scratch_path(spark, "forest")
-    loaded = fo.ForestModel.load(spark, path, cut.save(path))
+    loaded = fo.ForestModel.load(spark, path, cut.save(path, spark))
     both = whole.predict(df).withColumnRenamed("prediction", "p").join(loaded.predict(df).select("row_key", "prediction"), "row_key")
     rows = both.collect()
     assert len(rows) == 400

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators import evaluation as ev
 from ledgerloom.operators import features as ft
+from ledgerloom.operators import forests as fo
 from ledgerloom.operators import regressors as rg
 from ledgerloom.plans import training as tr
 from ledgerloom.session import materialise, scratch_path
@@ -93,19 +95,50 @@ def test_ties_keep_the_listing_order(spark):
     assert ev.comparison_pick(df).first().model == "y"
 
 
-def test_weighted_median_vote(cells):
-    prepared = ft.feature_pipeline(ft.DEMAND.cats, ft.DEMAND.nums).fit(cells)
-    ready = tr._vectors(prepared, cells, ft.DEMAND)
-    model = rg.fit_adaboost_r2(ready, ft.DEMAND, TINY)
-    got = model.predict(ready)
-    single = ready
-    for i, tree in enumerate(model.trees):
-        single = tree.setPredictionCol(f"t{i}").transform(single)
-    rows = single.join(got.select("row_key", "prediction"), "row_key").collect()
-    for r in rows[:200]:
-        votes = sorted((r[f"t{i}"], v) for i, v in enumerate(model.votes))
-        running = np.cumsum([v for _, v in votes])
-        assert r.prediction == votes[int(np.argmax(running >= 0.5 * running[-1] - 1e-12))][0]
+def _plain_adaboost(coder, rows, codes, raw, y, rounds, depth, seed):
+    """The same rounds in a plain loop."""
+    w, trees, votes = np.ones(len(y)), [], []
+    for turn in range(rounds):
+        draws = fo.resampled(seed, turn, rows, w * (len(y) / w.sum()))
+        k = draws > 0
+        piece = fo.grow(coder, codes[k], y[k], draws[k], depth, tree=turn, seed=seed, name=turn)
+        error = np.abs(fo.walk(piece, raw, len(coder.cats)) - y)
+        loss = (w * error).sum() / error.max() / w.sum()
+        if loss >= 0.5:
+            break
+        trees.append(piece)
+        votes.append(math.log((1 - loss) / loss))
+        w = w * (loss / (1 - loss)) ** (1 - error / error.max())
+    return trees, votes
+
+
+@pytest.mark.parametrize("local", [fo.LOCAL_ROWS, 60])
+def test_adaboost_rounds_equal_a_plain_loop(cells, monkeypatch, local):
+    monkeypatch.setattr(fo, "LOCAL_ROWS", local)
+    monkeypatch.setattr(fo, "BINS", 1_000)  # every value is a cut in the upper levels too
+    small = materialise(cells.orderBy("row_key").limit(300))
+    model = rg.fit_adaboost_r2(small, ft.DEMAND, TINY)
+    names = [*ft.DEMAND.cats, *ft.DEMAND.nums]
+    table = small.select("row_key", F.xxhash64("row_key").alias("h"), "label", *names).toPandas().sort_values("h")
+    coder = model.coder
+    raw = coder.raw([pa.array(table[c]) for c in names])
+    trees, votes = _plain_adaboost(
+        coder, table["h"].to_numpy(), coder.codes(raw), raw, table["label"].to_numpy(), TINY.adaboost_rounds, rg.BOOST_DEPTH, rg.SEED
+    )
+    assert len(votes) >= 2
+    np.testing.assert_allclose(model.votes, votes, rtol=1e-9)
+    got = {r.row_key: r.prediction for r in model.predict(small).collect()}
+    for key, row in zip(table["row_key"], np.stack([fo.walk(t, raw, len(coder.cats)) for t in trees], axis=1)):
+        order = np.argsort(row, kind="stable")
+        running = np.cumsum(np.array(votes)[order])
+        assert got[key] == pytest.approx(row[order][int(np.argmax(running >= 0.5 * running[-1]))])
+
+
+def test_draws_follow_their_expected_counts():
+    rows = np.arange(50_000)
+    for expected in (0.0, 0.3, 4.0, 31.0, 900.0):
+        drawn = fo.resampled(1, 2, rows, np.full(len(rows), expected))
+        assert abs(drawn.mean() - expected) <= 0.03 * expected and abs(drawn.var() - expected) <= 0.05 * expected
 
 
 def test_compare_refit_save_load(spark, cells):
