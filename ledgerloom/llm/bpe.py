@@ -312,12 +312,22 @@ def decode(ids: Column, path: str | None = None) -> Column:
     return F.arrow_udf(run, "string")(ids)
 
 
-def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
+def token_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids (little-endian uint32), ids_sha256, decoded_sha256 of every text.
+
+    Every row gives a row, rows that repeat and null ids too; extra columns are
+    ignored, an empty table gives no rows.
+    """
     made = typed(docs, doc_id="bigint", text="string").withColumn("r", round_trip(F.col("text"), path))
     return made.select(
         "doc_id",
         (F.octet_length("r.ids") / 4).cast("long").alias("n_tokens"),
+        F.col("r.ids").alias("ids"),
         F.sha2(F.col("r.ids"), 256).alias("ids_sha256"),
         F.sha2(F.col("r.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
+    return token_rows(docs, path).drop("ids")

@@ -38,6 +38,21 @@ def typed(df: DataFrame, **kinds: str) -> DataFrame:
     ))
 
 
+def boxed(df: DataFrame, **beside: Column) -> DataFrame:
+    """``row``, a struct of all columns, and the given ones beside it.
+
+    What an operator adds cannot clash with a column of its input; ``row.*``
+    gives the input's columns and values back.
+    """
+    return df.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in beside.items()])
+
+
+def column(df: DataFrame, name: str, kind: str) -> Column:
+    """A column cast, or null where it is absent."""
+    have = {c.lower() for c in df.columns}
+    return (df[f"`{name}`"] if name.lower() in have else F.lit(None)).cast(kind)
+
+
 def text_key(text: Column) -> Column:
     """64 bits that stand for a text beside its id; null counts as empty."""
     return F.xxhash64(F.coalesce(text, F.lit("")))

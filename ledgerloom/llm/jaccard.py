@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textvec as tv
-from ledgerloom.llm.common import hinted, text_key, typed
+from ledgerloom.llm.common import boxed, column, hinted, text_key, typed
 from ledgerloom.llm.components import components
 from ledgerloom.session import materialise
 
@@ -49,6 +49,7 @@ BAND = 4
 CHUNK = 16
 TOLERANCE = 1e-6
 BLOCK = 256
+_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
 
 _MULTIPLIERS = tv.mix(np.arange(1000, 1000 + HASHES, dtype=np.uint64)) | np.uint64(1)
 
@@ -433,11 +434,11 @@ def classes(docs: DataFrame) -> DataFrame:
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each class, all columns; texts without words all stay."""
     kept = materialise(classes(docs).filter("is_kept").select(
-        F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_key"), ((F.col("n_rows") > 1)).alias("_k_many")
+        F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"), (F.col("n_rows") > 1).alias("many")
     ))
-    same = docs["doc_id"].cast("bigint").eqNullSafe(kept["_k_id"]) & (text_key(docs["text"]) == kept["_k_key"])
-    met = docs.join(kept, same).withColumn("_k_empty", ~docs["text"].rlike(r"[0-9A-Za-z\x{80}-\x{10FFFF}]"))
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    single = met.filter(~F.col("_k_many") | F.coalesce("_k_empty", F.lit(True))).select(*columns)
-    several = met.filter(F.col("_k_many") & ~F.coalesce("_k_empty", F.lit(True))).dropDuplicates(["_k_id", "_k_key"]).select(*columns)
-    return single.unionByName(several)
+    text = column(docs, "text", "string")
+    rows = boxed(docs, id=column(docs, "doc_id", "bigint"), key=text_key(text), worded=F.coalesce(text.rlike(_WORD), F.lit(False)))
+    met = rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
+    again = F.col("many") & F.col("worded")
+    several = met.filter(again).dropDuplicates(["kept_id", "kept_key"])
+    return met.filter(~again).select("row").union(several.select("row")).select("row.*")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import textvec as tv
-from ledgerloom.llm.common import hinted, typed
+from ledgerloom.llm.common import boxed, column, hinted, typed
 from ledgerloom.session import materialise
 
 MIN_WORDS = 50
@@ -287,8 +287,8 @@ def scatter(vectors: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """``docs`` with three structs and flags beside all its own columns:
-    _counts, _failed (base rules), _distance (null if failed), _kept."""
+    """``docs`` (text, lang, source and what goes with them) with _counts,
+    _failed (base rules), _distance (null if failed) and _kept beside."""
     params = scatter(_vectors(docs))
 
     def level(n: int, key: dict[str, str]) -> DataFrame:
@@ -322,4 +322,5 @@ def quality(docs: DataFrame) -> DataFrame:
 
 def drop_rejected(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, all columns."""
-    return judged(docs).filter("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    parts = {name: column(docs, name, "string") for name in ("text", "lang", "source")}
+    return judged(boxed(docs, **parts)).filter("_kept").select("row.*")
