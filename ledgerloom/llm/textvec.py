@@ -7,6 +7,7 @@ memory stays within a few times ``SLICE_BYTES`` (or the longest single text).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +46,17 @@ def text_slices(column: pa.Array, max_bytes: int = SLICE_BYTES) -> Iterator[tupl
         end = min(max(end, row + 1), n)
         yield row, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
         row = end
+    give_back()
+
+
+_libc = ctypes.CDLL(None)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker serves many stages, and its executor's limit counts it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def powers(n: int, inverse: bool = False) -> np.ndarray:
@@ -94,9 +106,12 @@ def _powers_of(which: int, n: int, inverse: bool) -> np.ndarray:
     if have is None or len(have) < n:
         prime = _PRIMES[which]
         base = pow(_BASES[which], -1 if inverse else 1, prime)
-        have = np.ones(1, np.int64)
-        while len(have) < max(n, SLICE_BYTES + 1):
-            have = np.concatenate([have, have * pow(base, len(have), prime) % prime])
+        have = np.ones(max(n, SLICE_BYTES + 1), np.uint32)  # all below 2**31
+        done = 1
+        while done < len(have):
+            step = min(done, len(have) - done)
+            have[done : done + step] = have[:step].astype(np.int64) * pow(base, done, prime) % prime
+            done += step
         if len(have) <= 4 * SLICE_BYTES:
             _prime_powers[which, inverse] = have
     return have[:n]
@@ -112,11 +127,12 @@ class PrimeHashes:
     def __init__(self, data: np.ndarray):
         self.sums = []
         for which, prime in enumerate(_PRIMES):
-            terms = (data.astype(np.int64) + 1) * _powers_of(which, len(data), False)
             total = np.zeros(len(data) + 1, np.int64)
+            np.multiply(data.astype(np.int64) + 1, _powers_of(which, len(data), False), out=total[1:])
             for at in range(0, len(data), _CHUNK):
-                part = terms[at : at + _CHUNK]
-                total[at + 1 : at + 1 + len(part)] = np.cumsum(part) + total[at] % prime
+                part = total[at + 1 : at + 1 + _CHUNK]
+                np.cumsum(part, out=part)
+                part += total[at] % prime
             self.sums.append(total)
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -124,7 +140,7 @@ class PrimeHashes:
         for which, prime in enumerate(_PRIMES):
             total = self.sums[which]
             back = _powers_of(which, len(total), True)
-            out.append((total[ends] - total[starts]) % prime * back[starts] % prime)
+            out.append((total[ends] - total[starts]) % prime * back[starts].astype(np.int64) % prime)
         return mix((out[0].astype(np.uint64) << np.uint64(31) | out[1].astype(np.uint64)) ^ mix((ends - starts).astype(np.uint64)))
 
 
