@@ -15,6 +15,7 @@ texts are empty; empty texts have no ids.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from functools import lru_cache
@@ -312,22 +313,43 @@ def decode(ids: Column, path: str | None = None) -> Column:
     return F.arrow_udf(run, "string")(ids)
 
 
+def _digests(path: str, with_ids: bool):
+    """Count and digests of each text's ids and of the text decoded from them; the decoded text itself stays here."""
+
+    def run(texts: pa.Array) -> pa.Array:
+        v = vocabulary(path)
+        counts, ids, told, decoded = [], [], [], []
+        for found in v.encode_all(texts):
+            raw = found.tobytes()
+            counts.append(len(found))
+            told.append(hashlib.sha256(raw).hexdigest())
+            decoded.append(hashlib.sha256(v.decode(raw).encode()).hexdigest())
+            if with_ids:
+                ids.append(raw)
+        columns = [pa.array(counts, pa.int64()), pa.array(told, pa.string()), pa.array(decoded, pa.string())]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
+        return pa.StructArray.from_arrays(columns, names)
+
+    kind = "n_tokens:bigint,ids_sha256:string,decoded_sha256:string" + (",ids:binary" if with_ids else "")
+    return F.arrow_udf(run, f"struct<{kind}>")
+
+
+def _encoded(docs: DataFrame, path: str | None, with_ids: bool) -> DataFrame:
+    texts = typed(docs, doc_id="bigint", text="string")
+    return texts.select("doc_id", _digests(path or default_vocabulary(), with_ids)("text").alias("r")).select("doc_id", "r.*")
+
+
 def token_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids (little-endian uint32), ids_sha256, decoded_sha256 of every text.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids (little-endian uint32) of every text.
 
     Every row gives a row, rows that repeat and null ids too; extra columns are
     ignored, an empty table gives no rows.
     """
-    made = typed(docs, doc_id="bigint", text="string").withColumn("r", round_trip(F.col("text"), path))
-    return made.select(
-        "doc_id",
-        (F.octet_length("r.ids") / 4).cast("long").alias("n_tokens"),
-        F.col("r.ids").alias("ids"),
-        F.sha2(F.col("r.ids"), 256).alias("ids_sha256"),
-        F.sha2(F.col("r.decoded").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    return _encoded(docs, path, True)
 
 
 def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text."""
-    return token_rows(docs, path).drop("ids")
+    return _encoded(docs, path, False)
