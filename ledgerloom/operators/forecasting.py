@@ -6,11 +6,8 @@ path array, so all series and all models run side by side in one narrow stage.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import product
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,6 +17,7 @@ MOVING_WINDOW = 3
 # Smoothing weights tried for level, trend and season.
 HOLT_WINTERS_GRID = tuple(product((0.25, 0.5, 0.75), (0.0625, 0.25), (0.125, 0.5)))
 PHI_LIMIT = 0.98
+PIVOT_LEAST = 1e-10  # share of a lag's spread that the earlier lags leave
 MAX_HOLDOUT = 12
 _EXACT = "decimal(38,4)"
 
@@ -98,20 +96,20 @@ def holt_winters_path(y: Column, n: Column, horizon: Column, grid=HOLT_WINTERS_G
     return F.get(paths, F.lit(0))
 
 
+def _differenced(y: Column, n: Column, d: int) -> Column:
+    if d == 0:
+        return y
+    rest = F.greatest(n - 1, F.lit(0))
+    return F.zip_with(F.slice(y, 2, rest), F.slice(y, 1, rest), lambda a, b: (a - b).cast("decimal(18,2)"))
+
+
 def arima_path(y: Column, n: Column, horizon: Column, d: int) -> Column:
     """ARIMA(1,d,0), d in (0, 1), by conditional least squares.
 
     Sums are exact decimals; the slope is kept inside the stationary range.
     Fewer than two pairs give the last value, flat.
     """
-    if d == 1:
-        w = F.zip_with(
-            F.slice(y, 2, F.greatest(n - 1, F.lit(0))),
-            F.slice(y, 1, F.greatest(n - 1, F.lit(0))),
-            lambda a, b: (a - b).cast("decimal(18,2)"),
-        )
-    else:
-        w = y
+    w = _differenced(y, n, d)
     pairs = F.greatest(n - d - 1, F.lit(0))
     both = F.zip_with(F.slice(w, 1, pairs), F.slice(w, 2, pairs), lambda a, b: F.struct(a.alias("x"), b.alias("t")))
     zero = F.lit(0).cast(_EXACT)
@@ -162,36 +160,93 @@ CANDIDATES = {
 }
 
 
-def _arima_high_order(p: int, d: int):
-    def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, y, horizon in zip(frame["series_key"], frame["y"], frame["horizon"]):
-                y = np.asarray(y, dtype=float)
-                w = np.diff(y, n=d) if d else y
-                if len(w) < 2 * p + 1:
-                    rows.append((key, [float(y[-1])] * horizon))
-                    continue
-                lags = np.column_stack([np.ones(len(w) - p)] + [w[p - i : len(w) - i] for i in range(1, p + 1)])
-                coef = np.linalg.lstsq(lags, w[p:], rcond=None)[0]
-                recent, moves = list(w[-p:]), []
-                for _ in range(horizon):
-                    step = coef[0] + float(np.dot(coef[1:], recent[::-1]))
-                    recent = recent[1:] + [step]
-                    moves.append(step)
-                rows.append((key, list(y[-1] + np.cumsum(moves)) if d else moves))
-            yield pd.DataFrame(rows, columns=["series_key", "path"])
-
-    return fit
+def arima_lags_path(y: Column, n: Column, horizon: Column, p: int, d: int) -> Column:
+    """ARIMA(p,d,0), d in (0, 1), by conditional least squares on ``p`` lags.
+
+    The lags' Gram matrix is summed exactly, centred, and solved by symmetric
+    elimination. A lag that the earlier ones explain (a pivot of at most
+    ``PIVOT_LEAST`` of its spread) gets no weight. Series with fewer than
+    ``2 * p + 1`` values after differencing give the last value, flat.
+    """
+    w = _differenced(y, n, d)
+    m = F.greatest(n - d - p, F.lit(0))
+    lagged = F.array(*[F.slice(w, p + 1 - i, m) for i in range(p + 1)])  # the values i months back
+    count = m.cast("double")
+
+    def exact(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0).cast(_EXACT), lambda s, v: (s + v).cast(_EXACT), lambda s: s.cast("double"))
+
+    def product(a: Column, b: Column) -> Column:
+        return exact(F.zip_with(a, b, lambda u, v: u * v))
+
+    def moments(lags: Column) -> Column:
+        gram = F.transform(lags, lambda a: F.transform(lags, lambda b: product(a, b)))
+        return F.struct(F.transform(lags, exact).alias("sums"), gram.alias("gram"))
+
+    def equations(s: Column) -> Column:
+        def entry(i: int, j: int) -> Column:
+            return count * F.get(F.get(s["gram"], F.lit(i)), F.lit(j)) - F.get(s["sums"], F.lit(i)) * F.get(s["sums"], F.lit(j))
+
+        rows = F.array(*[F.array(*[entry(i, j) for j in (*range(1, p + 1), 0)]) for i in range(1, p + 1)])
+        return F.struct(s["sums"].alias("sums"), rows.alias("rows"))
+
+    def solved(e: Column) -> Column:
+        def eliminate(rows: Column, k: Column) -> Column:
+            row = F.get(rows, k)
+            pivot = F.get(row, k)
+            clear = pivot > F.lit(PIVOT_LEAST) * F.get(F.get(e["rows"], k), k)
+
+            def less(r: Column) -> Column:
+                return F.zip_with(r, row, lambda a, b: a - F.get(r, k) / pivot * b)
+
+            return F.transform(
+                rows,
+                lambda r, i: F.when((i == k) & ~clear, F.transform(r, lambda _: F.lit(0.0))).when((i == k) | ~clear, r).otherwise(less(r)),
+            )
+
+        done = F.aggregate(F.array(*[F.lit(k) for k in range(p)]), e["rows"], eliminate)
+        phi = F.transform(done, lambda r, i: F.when(F.get(r, i) > 0, F.get(r, F.lit(p)) / F.get(r, i)).otherwise(F.lit(0.0)))
+        return F.struct(e["sums"].alias("sums"), phi.alias("phi"))
+
+    def weighted(start: Column, phi: Column, values: Column, sign: float) -> Column:
+        terms = F.zip_with(phi, values, lambda f, v: F.struct(f.alias("f"), v.alias("v")))
+        return F.aggregate(terms, start, lambda s, t: s + F.lit(sign) * (t["f"] * t["v"]))
+
+    def intercept(f: Column) -> Column:
+        rest = weighted(F.get(f["sums"], F.lit(0)), f["phi"], F.slice(f["sums"], 2, p), -1.0)
+        return F.struct(f["phi"].alias("phi"), F.try_divide(rest, count).alias("c"))
+
+    last_y = F.get(y, n - 1).cast("double")
+    newest_first = F.array(*[F.get(w, n - d - i).cast("double") for i in range(1, p + 1)])
+
+    def walk(f: Column) -> Column:
+        def step(acc: Column, _j: Column) -> Column:
+            # One-element transform binds the move, which is used three times.
+            moved = F.transform(F.array(weighted(f["c"], f["phi"], acc["recent"], 1.0)), lambda move: F.struct(
+                F.concat(F.array(move), F.slice(acc["recent"], 1, p - 1)).alias("recent"),
+                (acc["y"] + move if d == 1 else move).alias("y"),
+            ))
+            return F.get(F.transform(moved, lambda a: F.struct(
+                a["recent"].alias("recent"), a["y"].alias("y"), F.concat(acc["path"], F.array(a["y"])).alias("path")
+            )), F.lit(0))
+
+        start = F.struct(newest_first.alias("recent"), last_y.alias("y"), F.array().cast("array<double>").alias("path"))
+        return F.aggregate(_steps(horizon), start, step, lambda acc: acc["path"])
+
+    paths = F.array(lagged)
+    for bind in (moments, equations, solved, intercept, walk):
+        paths = F.transform(paths, bind)
+    flat = F.transform(_steps(horizon), lambda j: last_y)
+    return F.when(n - d >= 2 * p + 1, F.get(paths, F.lit(0))).otherwise(flat)
 
 
 def forecast_arima(history: DataFrame, p: int = 1, d: int = 1) -> DataFrame:
-    """ARIMA(p,d,0) paths for (series_key, y, n, horizon); p = 1 stays in the JVM."""
-    if p == 1:
-        path = arima_path(F.col("y"), F.col("n"), F.col("horizon"), d)
-        return _steps_of(history.select("series_key", path.alias("path")))
-    plain = history.select("series_key", F.transform("y", lambda v: v.cast("double")).alias("y"), "horizon")
-    return _steps_of(plain.mapInPandas(_arima_high_order(p, d), "series_key string, path array<double>"))
+    """ARIMA(p,d,0) paths for (series_key, y, n, horizon)."""
+    if p < 1 or d not in (0, 1):
+        raise ValueError("p must be at least 1 and d 0 or 1")
+    y, n, horizon = F.col("y"), F.col("n"), F.col("horizon")
+    path = arima_path(y, n, horizon, d) if p == 1 else arima_lags_path(y, n, horizon, p, d)
+    return _steps_of(history.select("series_key", path.alias("path")))
 
 
 def forecast_holt_winters(history: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import product
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.draws import uniform_int
@@ -12,6 +16,7 @@ from ledgerloom.plans.catalog.inputs import sales_table, sql_uniform_int, with_s
 from ledgerloom.sources.requests import REJECTIONS, parse_requests
 
 HORIZON = 12
+HIGH_ORDERS = (2, 3)
 
 
 def _series(spark, folder):
@@ -58,7 +63,12 @@ def forecast_arima(spark, folder):
 
 
 def forecast_arima_high_order(spark, folder):
-    return fc.forecast_arima(_history(spark, folder), 3, 1)
+    """ARIMA(2,d,0) and ARIMA(3,d,0) for d of 0 and 1."""
+    history = _history(spark, folder)
+    parts = [
+        fc.forecast_arima(history, p, d).withColumns({"p": F.lit(p), "d": F.lit(d)}) for p, d in product(HIGH_ORDERS, (0, 1))
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def backtest_mape(spark, folder):
@@ -241,6 +251,58 @@ def _fit_sql(tag: str, known: str, horizon: str) -> str:
 )"""
 
 
+def _lags_sql(p: int, d: int) -> str:
+    """CTEs that fit ARIMA(p,d,0) on the whole history by elimination; result ``path_<p><d>``."""
+    tag, lags = f"{p}{d}", range(1, p + 1)
+    value = "value" if d == 0 else "value - lag(value) over (partition by series_key order by t)"
+    columns = (*lags, 0)
+    pairs = [(i, j) for i in lags for j in columns]
+    s = f"""w_{tag} as (
+  select series_key, t, n, cast({value} as decimal(18,2)) as x0 from placed
+), x_{tag} as (
+  select series_key, t, n, x0, {", ".join(f"lag(x0, {i}) over (partition by series_key order by t) as x{i}" for i in lags)} from w_{tag}
+), last_{tag} as (
+  select series_key, any_value(n) as n, [{", ".join(f"cast(max(x0) filter (t = n - {i - 1}) as double)" for i in lags)}] as recent
+  from x_{tag} group by series_key
+), g_{tag} as (
+  select series_key, cast(count(*) as double) as m, {", ".join(f"cast(sum(x{i}) as double) as s{i}" for i in (0, *lags))},
+         {", ".join(f"cast(sum(cast(x{i} as decimal(30,2)) * x{j}) as double) as g{i}_{j}" for i, j in pairs)}
+  from x_{tag} where x{p} is not null and x0 is not null group by series_key
+), e0_{tag} as (
+  select g.series_key, m, {", ".join(f"s{i}" for i in (0, *lags))}, {", ".join(f"m * g{i}_{j} - s{i} * s{j} as a{i}_{j}" for i, j in pairs)},
+         {", ".join(f"m * g{i}_{i} - s{i} * s{i} as d{i}" for i in lags)}
+  from g_{tag} g
+)"""
+    for k in lags:
+        clear = f"a{k}_{k} > {fc.PIVOT_LEAST!r} * d{k}"
+        cells = [
+            f"case when {clear} then a{i}_{j} else 0e0 end as a{i}_{j}" if i == k
+            else f"case when {clear} then a{i}_{j} - a{i}_{k} / a{k}_{k} * a{k}_{j} else a{i}_{j} end as a{i}_{j}"
+            for i, j in pairs
+        ]
+        s += f""", e{k}_{tag} as (
+  select series_key, m, {", ".join(f"s{i}" for i in (0, *lags))}, {", ".join(f"d{i}" for i in lags)}, {", ".join(cells)} from e{k - 1}_{tag}
+)"""
+    phi = [f"case when a{i}_{i} > 0 then a{i}_0 / a{i}_{i} else 0e0 end as phi{i}" for i in lags]
+    rest, move = "s0", "c"
+    for i in lags:
+        rest, move = f"({rest} - phi{i} * s{i})", f"({move} + phi{i} * recent[{i}])"
+    return s + f""", phi_{tag} as (
+  select series_key, m, {", ".join(f"s{i}" for i in (0, *lags))}, {", ".join(phi)} from e{p}_{tag}
+), go_{tag} as (
+  select l.series_key, 0 as step, l.recent, f.m, {rest} / m as c, {", ".join(f"phi{i}" for i in lags)}, z.last_y as y
+  from phi_{tag} f join last_{tag} l on l.series_key = f.series_key join size_full z on z.series_key = f.series_key
+  where l.n - {d} >= {2 * p + 1}
+  union all
+  select series_key, step + 1, list_prepend(move, recent[:{p - 1}]), m, c, {", ".join(f"phi{i}" for i in lags)}, {"move" if d == 0 else "y + move"}
+  from (select *, {move} as move from go_{tag} where step < {HORIZON})
+), path_{tag} as (
+  select series_key, step, y as value, {p} as p, {d} as d from go_{tag} where step > 0
+  union all
+  select series_key, step, last_y, {p}, {d} from steps_full where n - {d} < {2 * p + 1}
+)"""
+
+
 FULL_SQL = _fit_sql("full", "n", str(HORIZON))
 HOLDOUT = f"cast(least({fc.MAX_HOLDOUT}, n // 5) as int)"
 BACKTEST_SQL = _fit_sql("test", f"n - {HOLDOUT}", HOLDOUT) + f""", scores as (
@@ -292,6 +354,15 @@ ORACLES = {
         """select series_key, step, value, cast(case model_name when 'arima_110' then 1 else 0 end as int) as d
            from paths_full where model_name like 'arima%'""",
     ),
+    "forecast_arima_high_order": with_sales(
+        *_BASE,
+        FULL_SQL,
+        *[_lags_sql(p, d) for p, d in product(HIGH_ORDERS, (0, 1))],
+        " union all ".join(
+            f"select series_key, cast(step as int) as step, value, cast(p as int) as p, cast(d as int) as d from path_{p}{d}"
+            for p, d in product(HIGH_ORDERS, (0, 1))
+        ),
+    ),
     "backtest_mape": with_sales(*_BASE, BACKTEST_SQL, "select series_key, model_name, mape from scores"),
     "select_forecast_model": with_sales(*_BASE, BACKTEST_SQL, "select * from chosen"),
     "forecast_sales": with_sales(*_BASE, BACKTEST_SQL, FULL_SQL, FORECAST_SQL, "select * from forecast"),

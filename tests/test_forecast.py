@@ -1,4 +1,5 @@
 import datetime
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -89,10 +90,43 @@ def test_arima_equals_least_squares(history, d):
         np.testing.assert_allclose(got[k], arima(y, 6, d), rtol=1e-6, atol=1e-6)
 
 
-def test_high_order_arima_includes_the_low_one(history):
-    long = history.where("n >= 13 and series_key not in ('constant', 'zeros')")
-    low, high = paths(fc.forecast_arima(long, 1, 1)), paths(fc.forecast_arima(long.where("true"), 3, 1))
-    assert set(low) == set(high) and all(len(v) == 6 and np.isfinite(v).all() for v in high.values())
+def _lag_regression(y, horizon, p, d):
+    y = np.array(y, float)
+    w = np.diff(y) if d else y
+    if len(w) < 2 * p + 1:
+        return [y[-1]] * horizon
+    lags = np.column_stack([np.ones(len(w) - p)] + [w[p - i : len(w) - i] for i in range(1, p + 1)])
+    coef = np.linalg.lstsq(lags, w[p:], rcond=None)[0]
+    recent, moves = list(w[: -p - 1 : -1]), []
+    for _ in range(horizon):
+        moves.append(coef[0] + coef[1:] @ recent)
+        recent = [moves[-1], *recent[:-1]]
+    return list(y[-1] + np.cumsum(moves)) if d else moves
+
+
+@pytest.mark.parametrize("p", [2, 3, 5])
+@pytest.mark.parametrize("d", [0, 1])
+def test_high_order_arima_equals_least_squares(spark, p, d):
+    rng = np.random.default_rng(p)
+    noisy = {f"n{n}": np.round(rng.gamma(2.0, 40.0, n), 2).tolist() for n in (1, 2, 2 * p + d, 2 * p + 1 + d, 30, 200)}
+    rows = [(k, [Decimal(str(v)) for v in y], len(y), 6) for k, y in noisy.items()]
+    df = spark.createDataFrame(rows, "series_key string, y array<decimal(18,2)>, n int, horizon int")
+    got = paths(fc.forecast_arima(df, p, d))
+    for k, y in noisy.items():
+        np.testing.assert_allclose(got[k], _lag_regression(y, 6, p, d), rtol=1e-6, atol=1e-6, err_msg=k)
+
+
+def test_lags_that_repeat_earlier_ones_get_no_weight(spark):
+    turns = [1.0, -1.0] * 20  # the second lag is the negative of the first
+    df = spark.createDataFrame(
+        [("flat", [Decimal(7)] * 20, 20, 4), ("turns", [Decimal(int(v)) for v in turns], 40, 4)],
+        "series_key string, y array<decimal(18,2)>, n int, horizon int",
+    )
+    got = paths(fc.forecast_arima(df, 3, 0))
+    np.testing.assert_allclose(got["flat"], [7.0] * 4, atol=1e-9)
+    np.testing.assert_allclose(got["turns"], [1.0, -1.0, 1.0, -1.0], atol=1e-9)
+    with pytest.raises(ValueError):
+        fc.forecast_arima(df, 2, 2)
 
 
 def test_moving_average(history):
