@@ -57,7 +57,7 @@ def fit_model(train: DataFrame, task: Task, name: str, profile: rg.Profile | Non
     prepared = feature_pipeline(task.cats, task.nums).fit(train)
     ready = _vectors(prepared, train, task).persist()
     try:
-        return TaskModel(train.sparkSession, task, name, prepared, rg.CANDIDATES[name](ready, task, profile))
+        return TaskModel(train.sparkSession, task, name, prepared, {**rg.CANDIDATES, **rg.EXTRAS}[name](ready, task, profile))
     finally:
         ready.unpersist()
 

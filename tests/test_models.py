@@ -15,7 +15,7 @@ from ledgerloom.plans import training as tr
 from ledgerloom.session import materialise, scratch_path
 from tests.conftest import SMALL
 
-TINY = rg.Profile("tiny", trees=4, tree_depth=4, boost_rounds=4, adaboost_rounds=7, max_iter=500, fourier_features=32)
+TINY = rg.Profile("tiny", trees=4, tree_depth=4, boost_rounds=4, adaboost_rounds=7, max_iter=500, fourier_features=32, landmarks=32)
 
 
 @pytest.fixture(scope="module")
@@ -147,7 +147,7 @@ def test_compare_refit_save_load(spark, cells):
     table = tr.model_comparison(results).collect()
     assert {r.model for r in table} == set(rg.CANDIDATES) and [r.place for r in table] == list(range(1, 11))
     assert all(a.mae <= b.mae for a, b in zip(table, table[1:])) and {r.profile for r in table} == {"tiny"}
-    for name in ("gbt", "random_cut_forest", "adaboost_r2", "knn", "rbf_huber"):
+    for name in ("gbt", "random_cut_forest", "adaboost_r2", "knn", "rbf_svr"):
         path = scratch_path(spark, name)
         models[name].save(path)
         before = models[name].predict(test).select("row_key", "prediction")
