@@ -1,5 +1,10 @@
 """Chat reconstruction and page extraction."""
 
+import math
+import random
+import time
+
+import numpy as np
 import pytest
 
 from ledgerloom.llm import chat, tagpaths
@@ -115,6 +120,67 @@ def test_split_articles_stay_whole(page, want):
     assert tagpaths.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (
+            f"<div class=top><a>Home</a> <a>News</a></div><div class=c><p>{LONG}</p></div><div class=c2><p>{LONG}</p></div>"
+            "<div class=bottom>Copyright 2020 Foo.</div>",
+            f"{LONG}\n{LONG}",
+        ),
+        (f"<body><ul><li><a>Home</a><li><a>News</a><li>About</ul><p>{LONG}</p><p>{LONG}</p>", f"{LONG}\n{LONG}"),
+        (f"<body><h1>T</h1><p>{LONG}</p><h2>Part</h2><ul><li>one<li>two</ul><p>{LONG}</p>", f"T\n{LONG}\nPart\none\ntwo\n{LONG}"),
+        (f"<div><p>{LONG}</p><ul><li><a>more</a></ul><p>{LONG} <a>link</a></p></div>", f"{LONG}\n{LONG} link"),
+        (f"<div data-id='comment-1' title='id=ad'><p>{LONG}</p></div><div><p>{PROSE}</p></div>", f"{LONG}\n{PROSE}"),
+        (f"<!--><p>{PROSE}</p><!-- x --!><p don't>{PROSE}</p>", f"{PROSE}\n{PROSE}"),
+        (f"<p>{PROSE}</p><a href=\"x>never closed</a><p>gone</p>", PROSE),
+    ],
+)
+def test_paths_below_the_threshold_are_dropped(page, want):
+    assert tagpaths.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div>" * 100_000 + "deep", "<a " * 100_000, "<p><li>" + "<h1>x" * 50_000, "<b></i>" * 50_000, "<p class=\"x" * 50_000,
+        "<!-" * 100_000, "<script>" * 50_000, "<a href='" * 50_001, "<p x=" * 100_000, "<div class=ad>x" * 30_000,
+    ],
+)
+def test_pages_are_read_in_linear_time(page):
+    began = time.monotonic()
+    tagpaths.main_text(page)
+    assert time.monotonic() - began < 10
+
+
+def test_scores_equal_plain_ratios():
+    rng = random.Random(3)
+    nodes = [(rng.choice(["a, b.", "long text; more of it, and more.", "x", "  "]), rng.randrange(5), 0, 0) for _ in range(60)]
+    size = [len(n[0].strip()) for n in nodes]
+    signs = [sum(c in tagpaths._PUNCTUATION for c in n[0]) for n in nodes]
+
+    def ratio(values, path):
+        here = [i for i, n in enumerate(nodes) if n[1] == path]
+        return sum(values[i] for i in here) / max(1, sum(size[i] > 0 for i in here))
+
+    def smooth(values):
+        out = []
+        for i in range(len(values)):
+            near = [(j, math.exp(-((i - j) ** 2) / 2 / tagpaths.SPREAD**2)) for j in range(max(0, i - 2), min(len(values), i + 3))]
+            out.append(sum(w * values[j] for j, w in near) / sum(w for _, w in near))
+        return out
+
+    near = smooth([ratio(size, n[1]) for n in nodes])
+    fused = [a * b for a, b in zip(near, smooth([1 + ratio(signs, n[1]) for n in nodes]))]
+    mean = sum(fused) / len(fused)
+    bar = tagpaths.THRESHOLD * math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
+    of_path = {p: [f for f, n in zip(fused, nodes) if n[1] == p] for p in range(5)}
+    lent = {p: np.mean([v for v, n, s in zip(near, nodes, size) if n[1] == p and s]) for p in range(5)}
+    content = {p for p, f in of_path.items() if sum(f) / len(f) >= bar and ratio(size, p) >= tagpaths.OWN * lent[p]}
+    want = [f * s if n[1] in content else 0.0 for f, s, n in zip(fused, size, nodes)]
+    np.testing.assert_allclose(tagpaths.content_scores(nodes), want)
+
+
 def test_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, "u", f"<p>{PROSE}</p>", "t"), (2, None, None, "t"), (None, "u", "", "t"), (3, "v", deep, "t"), (3, "v", deep, "t")]
