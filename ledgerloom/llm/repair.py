@@ -1,7 +1,8 @@
 """Token-id output with Re-Pair grammar compression and random-access decoding.
 
 Documents are encoded, ordered by id and cut into blocks. In each block frequent
-neighbouring pairs of symbols are replaced by nonterminals, round after round.
+neighbouring pairs of symbols are replaced by nonterminals, round after round,
+until no pair occurs ``LEAST`` times.
 One round replaces many pairs at once: no symbol of the chosen pairs stands left
 in one and right in another, so their occurrences never overlap and the result
 is that of replacing them one after the other. A pair never spans documents.
@@ -43,8 +44,7 @@ from ledgerloom.llm.common import text_key, typed
 
 END_ID = 2
 BLOCK_IDS = 1 << 19  # a block ends with the document that reaches this many ids
-ROUNDS = 5
-PAIRS = 200  # most pairs replaced in one round
+PAIRS = 1_000  # most pairs replaced in one round; there are as many rounds as it takes
 LEAST = 24  # least occurrences of a pair worth a rule
 _BUCKETS = 17
 
@@ -80,31 +80,40 @@ def _frequent_pairs(left: np.ndarray, right: np.ndarray, open_: np.ndarray) -> t
     """The most frequent pairs whose left and right symbols do not mix, and where they stand.
 
     Pairs are counted by bucket first; only those of the fullest buckets are
-    told apart and counted exactly.
+    told apart and counted exactly. None are returned only if no pair occurs
+    ``LEAST`` times: where the fullest buckets hold many rare pairs, all
+    buckets that could hold a frequent one are looked at.
     """
-    bucket = ((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - _BUCKETS)
-    bucket *= open_
-    counts = np.bincount(bucket, minlength=1 << _BUCKETS)
+    bucket = (((left * np.uint32(0x9E3779B1)) ^ (right * np.uint32(0x85EBCA77))) >> np.uint32(32 - _BUCKETS)) + np.uint32(1)
+    bucket *= open_  # pairs across documents are in bucket 0
+    counts = np.bincount(bucket, minlength=(1 << _BUCKETS) + 1)
     counts[0] = 0
     bar = max(LEAST, int(np.partition(counts, -PAIRS)[-PAIRS]))
-    here = np.flatnonzero((counts >= bar)[bucket])
+    found = _of_buckets(left, right, bucket, counts >= bar)
+    return found if found[0] or bar == LEAST else _of_buckets(left, right, bucket, counts >= LEAST)
+
+
+def _of_buckets(
+    left: np.ndarray, right: np.ndarray, bucket: np.ndarray, looked_at: np.ndarray
+) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
+    here = np.flatnonzero(looked_at[bucket])
     a_here, b_here, bucket = left[here], right[here], bucket[here]
     keys = np.sort(a_here.astype(np.uint64) << np.uint64(32) | b_here)
     first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
     n = np.diff(np.concatenate([first, [len(keys)]]))
-    pairs = keys[first]
+    pairs, n = keys[first][n >= LEAST], n[n >= LEAST]
     lefts: set[int] = set()
     rights: set[int] = set()
     alone: set[int] = set()
     chosen: list[tuple[int, int]] = []
-    rule_of = np.full(1 << _BUCKETS, -1, np.int32)
+    rule_of = np.full((1 << _BUCKETS) + 1, -1, np.int32)
     for i in np.argsort(-n, kind="stable").tolist():
-        if n[i] < LEAST or len(chosen) == PAIRS:
+        if len(chosen) == PAIRS:
             break
         a, b = int(pairs[i]) >> 32, int(pairs[i]) & 0xFFFFFFFF
         if a in alone or b in alone or a in rights or b in lefts:
             continue
-        place = (((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) & 0xFFFFFFFF) >> (32 - _BUCKETS)
+        place = ((((a * 0x9E3779B1) ^ (b * 0x85EBCA77)) & 0xFFFFFFFF) >> (32 - _BUCKETS)) + 1
         if rule_of[place] >= 0:
             continue  # another pair of this round has its bucket: a later round's turn
         if a != b:
@@ -134,9 +143,7 @@ def compress(ids: list[np.ndarray], terminals: int) -> bytes:
     rules: list[tuple[int, int]] = []
     first_rules = []
     lengths = np.ones(terminals, np.uint32)
-    for _ in range(ROUNDS):
-        if len(symbols) < 2:
-            break
+    while len(symbols) >= 2:
         left, right, open_ = symbols[:-1], symbols[1:], ~last[:-1]
         chosen, at, rule = _frequent_pairs(left, right, open_)
         if not chosen:

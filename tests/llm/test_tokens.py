@@ -85,6 +85,32 @@ def test_blocks_round_trip(seed):
     assert all(every[50_257 + k] == every[a] + every[b] for k, (a, b) in enumerate(block.rules.tolist()))
 
 
+@pytest.mark.parametrize("most", [1, 7, 1_000])
+def test_no_frequent_pair_is_left(monkeypatch, most):
+    monkeypatch.setattr(repair, "PAIRS", most)
+    r = random.Random(most)
+    passage = [r.randrange(50_000) for _ in range(30)]
+    docs = [np.array([r.randrange(12) for _ in range(200)] + passage * r.randrange(3), np.uint32) for _ in range(60)]
+    docs += [np.zeros(0, np.uint32), np.zeros(1_000, np.uint32), *([np.array(passage, np.uint32)] * 40)]
+    block = repair.Block(repair.compress(docs, 50_257))
+    assert [block.document(i).tolist() for i in range(len(docs))] == [d.tolist() for d in docs]
+    left: dict[tuple[int, int], int] = {}
+    for a, b in zip(block.symbol_ends, block.symbol_ends[1:]):
+        kept = block.symbols[a:b].tolist()
+        for pair in zip(kept, kept[1:]):
+            left[pair] = left.get(pair, 0) + 1
+    assert max(left.values()) < repair.LEAST and len(block.symbols) < 0.5 * sum(map(len, docs))
+
+
+def test_rare_pairs_of_full_buckets_do_not_hide_frequent_ones(monkeypatch):
+    monkeypatch.setattr(repair, "_BUCKETS", 1)  # nearly all pairs share a bucket
+    monkeypatch.setattr(repair, "PAIRS", 1)
+    docs = [np.array([i, i + 9_000], np.uint32) for i in range(9_000)] + [np.array([3, 5, 3, 5], np.uint32)] * 30
+    block = repair.Block(repair.compress(docs, 50_257))
+    assert [3, 5] in block.rules.tolist()
+    assert block.all_ids().tolist() == np.concatenate(docs).tolist()
+
+
 def test_files_hold_all_documents_in_order(spark, tmp_path, library, monkeypatch):
     data = cases.rows()
     path = str(tmp_path / "ids")
