@@ -1,9 +1,14 @@
-"""AdaBoost.R2: trees on weighted resamples, joined by their weighted median.
+"""Boosted trees on the forests' histogram core; the coded features are written once for all rounds.
 
-In each round every row is drawn as often as its weight says, by a hash of
-(seed, round, row), so a retried task draws the same rows. A tree is grown on
-the draws; all rows are then weighed anew by their error on it. The state of a
+AdaBoost.R2 joins trees on weighted resamples by their weighted median. In each
+round every row is drawn as often as its weight says, by a hash of (seed,
+round, row), so a retried task draws the same rows. A tree is grown on the
+draws; all rows are then weighed anew by their error on it. The state of a
 round is a written table.
+
+Gradient boosting with squared loss grows each tree on what the trees before it
+left of the labels. The residuals are written every ``WRITTEN`` rounds; between
+them they follow from the rows' codes and the few trees since.
 """
 
 from __future__ import annotations
@@ -19,6 +24,8 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.forests import Coder, Tree, _coded, grow_tree, learn_codes, resampled
 from ledgerloom.session import materialise
 
+WRITTEN = 10  # rounds of gradient boosting between written residuals
+
 
 def _draws(seed: int, turn: int):
     def drawn(rows: pa.Array, expected: pa.Array) -> pa.Array:
@@ -28,8 +35,8 @@ def _draws(seed: int, turn: int):
     return F.arrow_udf(drawn, "bigint")
 
 
-def _seen(coder: Coder, tree: Tree):
-    """A tree's answers for coded rows: a code stands for its value."""
+def _seen(coder: Coder, *trees: Tree):
+    """The sum of trees' answers for coded rows: a code stands for its value."""
     width, n_cats = len(coder.sizes), len(coder.cats)
 
     def answers(codes: pa.Array) -> pa.Array:
@@ -37,7 +44,7 @@ def _seen(coder: Coder, tree: Tree):
         raw = table.astype(float)
         for i, values in enumerate(coder.values, n_cats):
             raw[:, i] = values[table[:, i]]
-        return pa.array(tree.predict(raw, n_cats))
+        return pa.array(sum((t.predict(raw, n_cats) for t in trees), np.zeros(len(raw))))
 
     return F.arrow_udf(answers, "double")
 
@@ -74,6 +81,26 @@ def fit_adaboost(train: DataFrame, cats, nums, rounds: int, depth: int, *, seed:
     return BoostedModel(coder, trees, votes)
 
 
+def fit_gradient(train: DataFrame, cats, nums, rounds: int, depth: int, rate: float, *, seed: int = 42) -> "GradientModel":
+    """Squared loss, from the mean label on; a leaf answers with the mean residual of its rows. No labels: 0."""
+    coder = learn_codes(train, cats, nums)
+    coded = materialise(_coded(train, coder).withColumn("draws", F.lit(1)))
+    seen = coded.agg(F.count("label").alias("n"), F.avg("label").alias("mean")).first()
+    base = seen["mean"] or 0.0
+    state = coded.withColumn("label", F.col("label") - base)
+    trees: list[Tree] = []
+    since: list[Tree] = []
+    for turn in range(rounds):
+        left = state.withColumn("label", F.col("label") - rate * _seen(coder, *since)("codes")) if since else state
+        if len(since) == WRITTEN:
+            left = state = materialise(left)
+            since = []
+        tree = grow_tree(left, coder, depth, seed=seed, tree=turn, rows=seen["n"])
+        trees.append(tree)
+        since.append(tree)
+    return GradientModel(coder, trees, base, rate)
+
+
 class BoostedModel:
     """Trees with vote weights; the answer is the weighted median of their predictions."""
 
@@ -97,17 +124,64 @@ class BoostedModel:
         return df.withColumn("prediction", F.arrow_udf(median, "double")(*coder.cats, *coder.nums))
 
     def save(self, path: str, spark: SparkSession) -> dict:
-        lines = [json.dumps(["labels", list(x)]) for x in self.coder.labels]
-        lines += [json.dumps(["values", x.tolist()]) for x in self.coder.values]
-        lines += [json.dumps(["tree", t.told()]) for t in self.trees]
-        spark.createDataFrame(list(enumerate(lines)), "i int, line string").coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
-        return {"votes": self.votes, "cats": list(self.coder.cats), "nums": list(self.coder.nums)}
+        return {"votes": self.votes, **_write_trees(path, spark, self.coder, self.trees)}
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, meta: dict) -> "BoostedModel":
-        told = [json.loads(r["line"]) for r in spark.read.parquet(f"{path}/trees").orderBy("i").collect()]
-        coder = Coder(
-            tuple(meta["cats"]), tuple(meta["nums"]), tuple(tuple(x) for kind, x in told if kind == "labels"),
-            tuple(np.array(x, float) for kind, x in told if kind == "values"),
-        )
-        return cls(coder, [Tree.read(x) for kind, x in told if kind == "tree"], meta["votes"])
+        return cls(*_read_trees(spark, path, meta), meta["votes"])
+
+
+class GradientModel:
+    """A start value and trees whose answers are added at a rate."""
+
+    kind = "gradient"
+    needs_vectors = False
+
+    def __init__(self, coder: Coder, trees: list[Tree], base: float, rate: float):
+        self.coder, self.trees, self.base, self.rate = coder, trees, base, rate
+
+    def predict(self, df: DataFrame) -> DataFrame:
+        coder, trees, base, rate = self.coder, self.trees, self.base, self.rate
+
+        def added(*columns: pa.Array) -> pa.Array:
+            raw = coder.raw(list(columns))
+            return pa.array(base + rate * sum((t.predict(raw, len(coder.cats)) for t in trees), np.zeros(len(raw))))
+
+        return df.withColumn("prediction", F.arrow_udf(added, "double")(*coder.cats, *coder.nums))
+
+    def stages(self):
+        """A column with each tree's answer and the prediction before it, in order."""
+        coder, trees, base, rate = self.coder, self.trees, self.base, self.rate
+
+        def told(*columns: pa.Array) -> pa.Array:
+            raw = coder.raw(list(columns))
+            each = np.stack([t.predict(raw, len(coder.cats)) for t in trees], axis=1)
+            before = base + rate * (np.cumsum(each, axis=1) - each)
+            pairs = pa.StructArray.from_arrays([pa.array(each.ravel()), pa.array(before.ravel())], ["value", "before"])
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(raw) + 1) * len(trees), pa.int32()), pairs)
+
+        return F.arrow_udf(told, "array<struct<value:double,before:double>>")(*coder.cats, *coder.nums)
+
+    def save(self, path: str, spark: SparkSession) -> dict:
+        return {"base": self.base, "rate": self.rate, **_write_trees(path, spark, self.coder, self.trees)}
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, meta: dict) -> "GradientModel":
+        return cls(*_read_trees(spark, path, meta), meta["base"], meta["rate"])
+
+
+def _write_trees(path: str, spark: SparkSession, coder: Coder, trees: list[Tree]) -> dict:
+    lines = [json.dumps(["labels", list(x)]) for x in coder.labels]
+    lines += [json.dumps(["values", x.tolist()]) for x in coder.values]
+    lines += [json.dumps(["tree", t.told()]) for t in trees]
+    spark.createDataFrame(list(enumerate(lines)), "i int, line string").coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+    return {"cats": list(coder.cats), "nums": list(coder.nums)}
+
+
+def _read_trees(spark: SparkSession, path: str, meta: dict) -> tuple[Coder, list[Tree]]:
+    told = [json.loads(r["line"]) for r in spark.read.parquet(f"{path}/trees").orderBy("i").collect()]
+    coder = Coder(
+        tuple(meta["cats"]), tuple(meta["nums"]), tuple(tuple(x) for kind, x in told if kind == "labels"),
+        tuple(np.array(x, float) for kind, x in told if kind == "values"),
+    )
+    return coder, [Tree.read(x) for kind, x in told if kind == "tree"]

@@ -555,10 +555,12 @@ _SPLIT = """tree int, node bigint, feature int, threshold double, last_code bigi
     mean double, left_mean double, right_mean double"""
 
 
-def _grow_tops(coded: DataFrame, coder: Coder, trees: int, depth: int, seed: int, bootstrap: bool, random_cuts: bool, only: int | None = None) -> dict[int, Top]:
+def _grow_tops(
+    coded: DataFrame, coder: Coder, trees: int, depth: int, seed: int, bootstrap: bool, random_cuts: bool, only: int | None = None, rows: int | None = None
+) -> dict[int, Top]:
     """Split the nodes with more than LOCAL_ROWS rows, one pass per level and block of trees."""
     tops = {t: Top(t) for t in (range(trees) if only is None else [only])}
-    wide = {t: [t] for t in tops} if depth > 0 and coded.count() > LOCAL_ROWS else {}
+    wide = {t: [t] for t in tops} if depth > 0 and (coded.count() if rows is None else rows) > LOCAL_ROWS else {}
     width = sum(_bins(coder)[0]) * 24
     while wide and depth > 0:
         depth -= 1
@@ -712,9 +714,9 @@ class Tree:
         return cls(Top.read(told[0]), {n: Piece(*[np.array(x, k) for x, k in zip(p, kinds, strict=True)]) for n, *p in told[1]})
 
 
-def grow_tree(coded: DataFrame, coder: Coder, depth: int, *, seed: int = 42, tree: int = 0) -> Tree:
-    """One shallow tree on a coded table whose ``draws`` say how often each row counts."""
-    top = _grow_tops(coded, coder, tree + 1, depth, seed, False, False, only=tree)[tree]
+def grow_tree(coded: DataFrame, coder: Coder, depth: int, *, seed: int = 42, tree: int = 0, rows: int | None = None) -> Tree:
+    """One shallow tree on a coded table whose ``draws`` say how often each row counts; ``rows``: its count, if known."""
+    top = _grow_tops(coded, coder, tree + 1, depth, seed, False, False, only=tree, rows=rows)[tree]
     dealt = coded.mapInArrow(_dealt(coder, [top], seed, False), "tree int, entry bigint, packed binary")
     grown = dealt.groupBy("tree", "entry").applyInArrow(_finished(coder, _depths({tree: top}), depth, seed, False), _PIECE)
     pieces = {}

@@ -16,12 +16,12 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, LinearRegressionModel
+from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators.features import Task
-from ledgerloom.operators.boosting import BoostedModel, fit_adaboost
+from ledgerloom.operators.boosting import BoostedModel, GradientModel, fit_adaboost, fit_gradient
 from ledgerloom.operators.forests import ForestModel, fit_forest
 from ledgerloom.operators.kernels import KernelModel, fit_kernel
 from ledgerloom.operators.neighbours import knn_join
@@ -128,7 +128,7 @@ class FourierModel:
         return cls(LinearRegressionModel.load(f"{path}/model"), meta["width"], meta["gamma"], meta["size"])
 
 
-KINDS = {c.kind: c for c in (SparkModel, ForestModel, BoostedModel, NeighbourModel, KernelModel, FourierModel)}
+KINDS = {c.kind: c for c in (SparkModel, ForestModel, BoostedModel, GradientModel, NeighbourModel, KernelModel, FourierModel)}
 
 
 def side_by_side(work, items, parallelism: int = 4) -> list:
@@ -193,9 +193,9 @@ def fit_random_cut_forest(train: DataFrame, task: Task, profile: Profile) -> For
     return fit_forest(train, task.cats, task.nums, profile.trees, profile.tree_depth, seed=SEED, random_cuts=True)
 
 
-def fit_gbt(train: DataFrame, task: Task, profile: Profile) -> SparkModel:
-    trees = GBTRegressor(maxIter=profile.boost_rounds, stepSize=BOOST_RATE, maxDepth=BOOST_DEPTH, seed=SEED, maxBins=64)
-    return SparkModel(Pipeline(stages=[trees]).fit(train))
+def fit_gbt(train: DataFrame, task: Task, profile: Profile) -> GradientModel:
+    """Gradient boosting with squared loss on the forests' core."""
+    return fit_gradient(train, task.cats, task.nums, profile.boost_rounds, BOOST_DEPTH, BOOST_RATE, seed=SEED)
 
 
 def fit_adaboost_r2(train: DataFrame, task: Task, profile: Profile) -> BoostedModel:

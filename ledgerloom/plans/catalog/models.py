@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.scalars import fixed4
+from ledgerloom.operators import boosting as bo
 from ledgerloom.operators import evaluation as ev
 from ledgerloom.operators import features as ft
 from ledgerloom.operators import kernels as kn
@@ -139,8 +140,33 @@ def model_rbf_svr(spark, folder):
     return _judged(model.predict(test), train).drop("prediction").withColumn("certified", F.lit(bool(certified)))
 
 
+LEAF_SLACK = 1e-6
+
+
+def model_gbt(spark, folder):
+    """As the others, and ``certified``: in every round each leaf of the tree answers with the mean, over
+    its training rows, of what the rounds before left of their labels."""
+    train, test = ft.train_test_split(_rows(spark, folder, ft.SALES))
+    model = tr.fit_model(train, ft.SALES, "gbt")
+    each = train.select("label", F.posexplode(model.core.stages()).alias("turn", "e")).select("turn", "label", "e.*")
+    leaves = each.groupBy("turn", "value").agg(F.avg(F.col("label") - F.col("before")).alias("mean"))
+    size = train.agg(F.stddev_pop("label")).first()[0]
+    right = F.abs(F.col("mean") - F.col("value")) <= LEAF_SLACK * size
+    seen = leaves.agg(F.min(right).alias("right"), F.countDistinct("turn").alias("turns"), F.count("value").alias("leaves")).first()
+    rounds = rg.FULL["sales"].boost_rounds
+    certified = seen["right"] and seen["turns"] == rounds and seen["leaves"] > rounds
+    return _judged(model.predict(test), train).drop("prediction").withColumn("certified", F.lit(bool(certified)))
+
+
+def gbt_first_tree(spark, folder):
+    """The first tree's answer for each training row."""
+    train, _ = ft.train_test_split(_rows(spark, folder, ft.SALES))
+    model = bo.fit_gradient(train, ft.SALES.cats, ft.SALES.nums, 1, rg.BOOST_DEPTH, rg.BOOST_RATE)
+    return train.select("row_key", fixed4(model.stages()[0]["value"]).alias("value"))
+
+
 LINEAR = ("linear", "ridge", "lasso", "elastic_net")
-OWN = ("knn", "random_cut_forest", "rbf_svr")
+OWN = ("knn", "random_cut_forest", "rbf_svr", "gbt")
 GRADIENT_SLACK = 1e-3
 
 
@@ -243,7 +269,7 @@ QUERIES = {
         demand_training_set, sales_training_set, train_test_split, feature_pipeline, error_metrics, best_model,
         comparison_pick, write_comparison, knn_join, model_knn, model_knn_demand,
         *[(_linear_query if name in LINEAR else _model_query)(name) for name in (*rg.CANDIDATES, *rg.EXTRAS) if name not in OWN],
-        model_random_cut_forest, model_rbf_svr,
+        model_random_cut_forest, model_rbf_svr, model_gbt, gbt_first_tree,
         fit_candidates, model_comparison, refit_best, save_load_model,
     )
 }
@@ -325,6 +351,37 @@ def _positions() -> str:
     return f"select row_key, concat_ws(',', {', '.join(parts)}) as positions, cast({offset} as int) as width from lines l"
 
 
+def _first_tree_sql() -> str:
+    """Every cut of every node weighed, level by level; a category's values stand in the order of their means."""
+    values = " union all ".join(
+        [f"select row_key, {i} as f, {c} as k, cast(null as double) as x from lines where not in_test" for i, c in enumerate(_CATS)]
+        + [f"select row_key, {i} as f, cast({c} as varchar) as k, {c} as x from lines where not in_test" for i, c in enumerate(_NUMS, len(_CATS))]
+    )
+    parts = [f"""feature_values as materialized ({values}), nodes_0 as materialized (
+  select row_key, 1 as node, label - (select avg(label) from lines where not in_test) as r from lines where not in_test
+)"""]
+    for d in range(rg.BOOST_DEPTH):
+        parts.append(f"""means_{d} as (select node, count(*) as n, avg(r) as m from nodes_{d} group by node
+), runs_{d} as (
+  select node, f, k, any_value(x) as x, count(*) as w, sum(r - m) as s
+  from nodes_{d} join means_{d} using (node) join feature_values using (row_key) group by node, f, k
+), prefixes_{d} as materialized (
+  select node, f, k, row_number() over upto as place, sum(w) over upto as w, sum(s) over upto as s
+  from runs_{d} window upto as (partition by node, f order by coalesce(x, s / w), k rows unbounded preceding)
+), best_{d} as materialized (
+  select node, f, place from prefixes_{d} p join means_{d} using (node) where p.w < n
+  qualify row_number() over (partition by node order by s * s / p.w + s * s / (n - p.w) desc, f, place) = 1
+), lefts_{d} as (
+  select p.node, p.f, p.k from prefixes_{d} p join best_{d} b on p.node = b.node and p.f = b.f and p.place <= b.place
+), nodes_{d + 1} as materialized (
+  select n.row_key, n.r, 2 * n.node + case when l.k is null then 1 else 0 end as node
+  from nodes_{d} n left join best_{d} b on n.node = b.node
+  left join feature_values v on v.row_key = n.row_key and v.f = b.f
+  left join lefts_{d} l on l.node = n.node and l.f = v.f and l.k = v.k
+)""")
+    return ", ".join(parts)
+
+
 ORACLES = {
     "demand_training_set": with_sales(
         f"""select concat_ws('|', order_year, order_month, category, sub_category, region) as row_key, category, sub_category, region,
@@ -351,6 +408,13 @@ ORACLES = {
     "model_rbf_svr": with_sales(
         LINES_SQL, "select row_key, label, true as inside, true as skilled, true as certified from lines where in_test"
     ),
+    "model_gbt": with_sales(
+        LINES_SQL, "select row_key, label, true as inside, true as skilled, true as certified from lines where in_test"
+    ),
+    "gbt_first_tree": with_sales(
+        LINES_SQL, _first_tree_sql(),
+        f"select row_key, {sql_fixed4('avg(r) over (partition by node)')} as value from nodes_{rg.BOOST_DEPTH}",
+    ),
     "model_random_cut_forest": with_sales(
         LINES_SQL,
         f"""select row_key, label, {sql_fixed4(f"avg(label) over (partition by {', '.join((*_CATS, *_NUMS))})")} as prediction

@@ -7,6 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import boosting as bo
 from ledgerloom.operators import evaluation as ev
 from ledgerloom.operators import features as ft
 from ledgerloom.operators import forests as fo
@@ -134,6 +135,38 @@ def test_adaboost_rounds_equal_a_plain_loop(cells, monkeypatch, local):
         assert got[key] == pytest.approx(row[order][int(np.argmax(running >= 0.5 * running[-1]))])
 
 
+@pytest.mark.parametrize("local", [fo.LOCAL_ROWS, 60])
+def test_gradient_rounds_equal_a_plain_loop(cells, monkeypatch, local):
+    monkeypatch.setattr(fo, "LOCAL_ROWS", local)
+    monkeypatch.setattr(fo, "BINS", 1_000)
+    monkeypatch.setattr(bo, "WRITTEN", 2)
+    small = materialise(cells.orderBy("row_key").limit(300))
+    profile = rg.Profile("seven", trees=1, tree_depth=1, boost_rounds=7, adaboost_rounds=1, max_iter=1)
+    model = rg.fit_gbt(small, ft.DEMAND, profile)
+    names = [*ft.DEMAND.cats, *ft.DEMAND.nums]
+    table = small.select("row_key", "label", *names).toPandas()
+    coder, y = model.coder, table["label"].to_numpy()
+    raw = coder.raw([pa.array(table[c]) for c in names])
+    told = np.full(len(y), y.mean())
+    losses = [((y - told) ** 2).sum()]
+    for turn in range(7):
+        piece = fo.grow(coder, coder.codes(raw), y - told, np.ones(len(y)), rg.BOOST_DEPTH, tree=turn)
+        told += rg.BOOST_RATE * fo.walk(piece, raw, len(coder.cats))
+        losses.append(((y - told) ** 2).sum())
+    got = {r.row_key: r.prediction for r in model.predict(small).collect()}
+    reached = ((y - np.array([got[k] for k in table["row_key"]])) ** 2).sum()
+    assert reached == pytest.approx(losses[-1], rel=1e-6) and all(a > b for a, b in zip(losses, losses[1:]))
+    # Splits of equal worth may be chosen otherwise when sums are added in another order.
+    assert np.mean([abs(got[k] - t) < 1e-6 for k, t in zip(table["row_key"], told)]) >= 0.98
+
+
+def test_gradient_without_labels_or_differences(spark):
+    empty = spark.createDataFrame([], "row_key string, c string, x double, label double")
+    rows = spark.createDataFrame([("a", None, 1.0, 3.0), ("b", "u", None, 3.0), ("c", "u", 2.0, None)], "row_key string, c string, x double, label double")
+    assert [r.prediction for r in bo.fit_gradient(empty, ("c",), ("x",), 2, 3, 0.1).predict(rows).collect()] == [0.0] * 3
+    assert [r.prediction for r in bo.fit_gradient(rows, ("c",), ("x",), 2, 3, 0.1).predict(rows).collect()] == [3.0] * 3
+
+
 def test_draws_follow_their_expected_counts():
     rows = np.arange(50_000)
     for expected in (0.0, 0.3, 4.0, 31.0, 900.0):
