@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from ledgerloom.operators import neighbours
 from ledgerloom.operators.neighbours import knn_join, median_boxes
 
 CATS, NUMS = ["c", "d"], ["x", "y"]
@@ -70,3 +71,17 @@ def test_boxes_cover_all_rows(count):
     assert len(boxes.low) <= count and at.min() >= 0 and at.max() < len(boxes.low)
     inside = (x >= boxes.low[at]).all(axis=1) & (x <= boxes.high[at]).all(axis=1)
     assert inside.all() and (boxes.gap_sq(x)[np.arange(len(x)), at] == 0).all()
+
+
+def test_boxes_are_chunked_only_beyond_what_a_task_holds(spark, monkeypatch):
+    # Every chunk is sent once per chunk of the other side, and answers with k candidates per probe.
+    told = []
+    counts = neighbours._chunk_counts
+
+    def watched(*given):
+        told.append(counts(*given))
+        return told[-1]
+
+    monkeypatch.setattr(neighbours, "_chunk_counts", watched)
+    check(spark, rows(60, 8, prefix="p"), rows(3000, 9, spread=400), 5, max_boxes=1)
+    assert [[r[1] for r in t.collect()] for t in told] == [[1], [1], [1]]
