@@ -214,3 +214,16 @@ def test_registered_queries_fit_at_full_size(spark, monkeypatch):
             models.QUERIES[name](spark, SMALL)
     assert sizes == [None] * len(queries)  # the default, rg.FULL
     assert {(p.trees, p.tree_depth) for p in rg.FULL.values()} == {(400, None), (300, None)}
+
+
+def test_a_task_reads_a_bounded_part_of_the_training_vectors(spark, monkeypatch):
+    monkeypatch.setattr(tr, "ROWS_PER_TASK", 100)
+    rows = spark.range(0, 450, 1, 1).select(
+        F.col("id").cast("string").alias("row_key"), *[F.lit("a").alias(c) for c in ft.DEMAND.cats],
+        *[(F.col("id") % 7).cast("double").alias(c) for c in ft.DEMAND.nums], F.col("id").cast("double").alias("label"),
+    )
+    kept = tr._kept(ft.feature_pipeline(ft.DEMAND.cats, ft.DEMAND.nums).fit(rows), rows, ft.DEMAND)
+    parts = [r[0] for r in kept.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(parts) == 450 and len(parts) == 5 and max(parts) <= 100
+    assert "onehot" not in kept.columns
+    kept.unpersist()
