@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 import re
 
 import numpy as np
@@ -272,3 +273,25 @@ def test_site_posteriors_without_rows_or_labels(spark):
     assert sites.posteriors(cases.empty(spark), none).collect() == []
     out = sites.posteriors(cases.table(spark, cases.rows()), none).collect()
     assert len(out) == len(cases.rows()) and all(0 <= r.p_quality <= 1 for r in out)
+
+
+def test_formats_come_from_every_distinct_value(spark, monkeypatch):
+    r = random.Random(8)
+    keys = ["".join(r.choice("0123456789abcdef") for _ in range(r.randint(24, 40))) for _ in range(4000)]
+    names = sorted({"".join(r.choice("etioinshr") for _ in range(r.randint(24, 40))) for _ in range(5000)})
+    long = "ab1" * 2000  # trains whole
+    data = [(i, f"{k} {k} {n}", "en", "a") for i, (k, n) in enumerate(zip([*keys, long], names))]
+    data += [(9000, " ".join(names[len(data):]), "en", "a")]
+    fitted, placed = [], []
+    refit, learn = secrets.Automaton.refit, secrets.Formats.learn_margins
+    monkeypatch.setattr(secrets.Automaton, "refit", lambda self, counts: (fitted.append(dict(counts)), refit(self, counts))[1])
+    monkeypatch.setattr(secrets.Formats, "learn_margins", lambda self, places: (placed.append(dict(places)), learn(self, places))[1])
+    formats = secrets.infer_formats(cases.table(spark, data))
+    held = {n for n in names if zlib.crc32(n.encode()) % 2 == 0}
+    trained = {"hex": {*keys, long}, "ordinary": set(names) - held}
+    assert [sum(c.values()) for c in fitted] == [sum(len(v) + 1 for v in trained[k]) for k in ("hex", "ordinary")]
+    assert [sum(n for (_, c), n in counts.items() if c == secrets.END) for counts in fitted] == [len(v) for v in trained.values()]
+    assert sum(placed[0].values()) == len(held) and set(formats.automata) == {"hex"}
+    for table, end in zip(formats.automata["hex"].table, formats.automata["hex"].end, strict=True):
+        assert sum(np.exp(p) for _, p in table.values()) + np.exp(end) < 1.01
+    assert formats.score("0123456789abcdef01234567") > secrets.MARGIN > formats.score("rthesnioirthesnioirthesn")
