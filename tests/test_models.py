@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -7,6 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
+from ledgerloom import session
 from ledgerloom.operators import boosting as bo
 from ledgerloom.operators import evaluation as ev
 from ledgerloom.operators import features as ft
@@ -227,3 +229,23 @@ def test_a_task_reads_a_bounded_part_of_the_training_vectors(spark, monkeypatch)
     assert sum(parts) == 450 and len(parts) == 5 and max(parts) <= 100
     assert "onehot" not in kept.columns
     kept.unpersist()
+
+
+def test_boosting_rounds_leave_no_tables_behind(spark, monkeypatch):
+    paths = []
+    fresh = session.scratch_path
+
+    def watched(*given):
+        paths.append(fresh(*given))
+        return paths[-1]
+
+    monkeypatch.setattr(session, "scratch_path", watched)
+    rows = spark.range(0, 200, 1, 2).select(
+        F.col("id").cast("string").alias("row_key"), F.lit("a").alias("c"), (F.col("id") % 17).cast("double").alias("x"),
+        ((F.col("id") % 17) * 3 + F.col("id") % 5).cast("double").alias("label"),
+    )
+    model = bo.fit_adaboost(rows, ["c"], ["x"], 4, 2)
+    assert len(model.trees) >= 2
+    written = sum(os.path.getsize(os.path.join(p, f)) for p in paths if os.path.isdir(p) for f in os.listdir(p) if f.endswith(".parquet"))
+    assert len(paths) > 2 and written == 0
+    assert model.predict(rows).where(F.col("prediction").isNull()).count() == 0
