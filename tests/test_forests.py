@@ -162,3 +162,37 @@ def test_plan_does_not_grow_with_the_trees(spark, sales):
         model = tr.fit_model(rows, ft.DEMAND, "random_forest", profile)
         sizes.append(len(model.predict(rows)._jdf.queryExecution().optimizedPlan().toString().splitlines()))
     assert sizes[0] == sizes[1]
+
+
+@pytest.mark.parametrize("random_cuts", [False, True])
+def test_packed_pieces_are_smaller_and_the_same(random_cuts):
+    coder, raw, y = made(300)
+    piece = fo.grow(coder, coder.codes(raw), y, np.ones(300), fo.UNLIMITED, random_cuts=random_cuts)
+    packed = piece.packed(2)
+    again = fo.Piece.unpacked(*packed.values(), 2)
+    assert all(np.array_equal(getattr(piece, c), getattr(again, c)) for c in ("feature", "left", "sets"))
+    assert sum(map(len, packed.values())) < 0.75 * sum(x.nbytes for x in (piece.feature, piece.number, piece.left, piece.sets))
+    np.testing.assert_array_equal(fo.walk(piece, raw, 2), fo.walk(again, raw, 2))
+
+
+@pytest.mark.parametrize(("random_cuts", "depth"), [(False, None), (True, None), (False, 2)])
+def test_trees_dealt_and_scored_a_few_at_a_time_give_the_same_forest(spark, monkeypatch, random_cuts, depth):
+    _, raw, y = made(400)
+    df = frame(spark, raw, y)
+    monkeypatch.setattr(fo, "LOCAL_ROWS", 60)
+    whole = fo.fit_forest(df, CATS, NUMS, 5, depth, seed=5, random_cuts=random_cuts)
+    want = {r.row_key: r.prediction for r in whole.predict(df).collect()}
+    released = []
+    monkeypatch.setattr(fo, "DEALT_BYTES", 14_000)
+    monkeypatch.setattr(fo, "HELD_BLOCKS", 0)
+    monkeypatch.setattr(fo, "release_shuffles", lambda spark: released.append(1))
+    few = fo.fit_forest(df, CATS, NUMS, 5, depth, seed=5, random_cuts=random_cuts)
+    assert len(released) > 1 and few.pieces.count() == whole.pieces.count()
+    # A row twice, an unknown label and missing values are scored as well.
+    odd = df.union(df.limit(3)).union(spark.createDataFrame([("odd", "new", None, None, 1.0, 0.0)], df.schema))
+    monkeypatch.setattr(few, "_block_sum", None)  # nothing may pass through the driver
+    got = few.predict(odd).collect()
+    assert len(got) == 404 and sum(abs(want.get(r.row_key, r.prediction) - r.prediction) < 1e-9 for r in got) >= 400
+    [lone] = [r.prediction for r in got if r.row_key == "odd"]
+    [held] = [r.prediction for r in whole.predict(odd.where("row_key = 'odd'")).collect()]
+    assert lone == pytest.approx(held, abs=1e-9)
