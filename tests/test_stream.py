@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators.features import DEMAND, SALES, training_set
 from ledgerloom.operators.lookup import serving_tables
 from ledgerloom.plans import scoring
+from ledgerloom.plans.catalog import scoring as catalog_scoring
 from ledgerloom.plans.catalog.scoring import demand_requests, sales_requests
 from ledgerloom.plans.registry import ModelRegistry, train_and_publish
 from ledgerloom.plans.training import fit_model
@@ -143,3 +144,15 @@ def test_json_files_with_repeats_late_and_broken_lines(spark, sales, registry):
     lines(spark, base, [("g", "2025-01-01T00:00:00Z", good), ("h", "2025-01-02T00:30:00Z", good)], "three")
     answers, n, _ = run()
     assert "g" not in answers and "h" in answers and n == 6
+
+
+def test_request_files_hold_bounded_numbers_of_lines(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalog_scoring, "LINES_PER_FILE", 10)
+    monkeypatch.setattr(catalog_scoring, "MAX_FILES", 7)
+    lines = spark.range(95).select(F.col("id").cast("string").alias("value"))
+    assert catalog_scoring._sent(lines, f"{tmp_path}/many") == 5
+    files = spark.read.text(f"{tmp_path}/many").groupBy(F.input_file_name()).agg(F.count("value"), F.collect_list("value")).collect()
+    assert len(files) == 10 and max(r[1] for r in files) <= 20
+    assert sorted(int(v) for r in files for v in r[2]) == list(range(95))
+    assert catalog_scoring._sent(lines.limit(9), f"{tmp_path}/few") == 2
+    assert catalog_scoring._sent(lines.unionAll(lines), f"{tmp_path}/more") == 7
