@@ -3,7 +3,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.segments import next_order_id
 from ledgerloom.plans import expand as ex
+from ledgerloom.plans.catalog import expansion
 from ledgerloom.sources.sales import CSV_NAMES
+from tests.conftest import SMALL
 
 
 @pytest.fixture(scope="module")
@@ -69,3 +71,10 @@ def test_weights(sales):
     assert sum(m.share for m in months.values()) == pytest.approx(1)
     years = {r.order_year: r.n for r in ex.year_weights(sales, 2000, 2003, absent=9).collect()}
     assert years[2003] == 9 and years[2000] == sales.where("order_year = 2000").count()
+
+
+def test_numeric_draws_store_every_row_but_only_the_columns_they_read(spark):
+    whole = expansion._draws(spark, SMALL)[0]
+    kept, draws = expansion._draws(spark, SMALL, *expansion._NUMERIC_COLUMNS)
+    assert kept.columns == list(expansion._NUMERIC_COLUMNS) and draws.count() == whole.count()
+    assert kept.exceptAll(whole.select(*kept.columns)).count() == whole.select(*kept.columns).exceptAll(kept).count() == 0

@@ -115,3 +115,11 @@ def test_quantiles_of_wide_ranges_and_ends_without_number(spark):
     df = spark.createDataFrame([("k", v) for v in rows] + [("z", None)], "k string, x double")
     (got,) = qt.exact_quantiles(df, ["k"], {"x": F.col("x")}, (0.1, 0.2, 0.3, 0.4, 0.5, 0.9), 1, 2).collect()
     assert got.q == [sorted(rows)[i] for i in (1, 2, 3, 4, 5, 9)]
+
+
+def test_values_are_counted_by_a_bracket_number_alone(spark):
+    df = spark.createDataFrame([("a", float(i % 7)) for i in range(50)] + [("b", float(i)) for i in range(9)], "k string, x double")
+    found = qt.exact_quantiles(df, ["k"], {"x": F.col("x")}, (0.25, 0.5))
+    plan = found._jdf.queryExecution().toString()
+    assert "bracket" in plan and not any("value" in line and "below" in line for line in plan.splitlines() if "HashAggregate" in line)
+    assert {r["k"]: list(r["q"]) for r in found.collect()} == {"a": [1.0, 3.0], "b": [2.0, 4.0]}
