@@ -30,6 +30,8 @@ from ledgerloom.llm import textvec as tv
 from ledgerloom.llm.common import typed
 
 CACHED = 1_000_000  # distinct pre-tokens a worker remembers, by 64-bit hash
+TOLD = 10_000  # new pre-tokens whose ids are Python lists at a time
+ENCODED_BYTES = 1 << 18  # bytes of texts encoded together
 _NONE = 1 << 80
 
 
@@ -56,11 +58,14 @@ def _classes() -> np.ndarray:
     import regex
 
     table = np.full(0x110000, _OTHER, np.uint8)
-    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
     # White space as Unicode has it: without the separators 0x1C to 0x1F.
     space = regex.compile(r"[\t-\r\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]")
-    for pattern, kind in ((regex.compile(r"\p{L}"), _LETTER), (regex.compile(r"\p{N}"), _NUMBER), (space, _SPACE)):
-        table[np.frombuffer("".join(pattern.findall(every)).encode("utf-32-le"), "<u4")] = kind
+    for first in range(0, 0x110000, 0x800):
+        if first == 0xD800:
+            continue  # surrogates
+        some = np.arange(first, first + 0x800, dtype="<u4").tobytes().decode("utf-32-le")
+        for pattern, kind in ((regex.compile(r"\p{L}+"), _LETTER), (regex.compile(r"\p{N}+"), _NUMBER), (space, _SPACE)):
+            table[np.frombuffer("".join(pattern.findall(some)).encode("utf-32-le"), "<u4")] = kind
     return table
 
 
@@ -213,10 +218,14 @@ class Vocabulary:
             self._forget()
             return self.known(hashes, word)
         if len(lost):
-            ids = self.fresh([word(i) for i in lost.tolist()])
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            pools, sizes = [self.pool], []
+            for first in range(0, len(lost), TOLD):
+                ids = self.fresh([word(i) for i in lost[first : first + TOLD].tolist()])
+                sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+                pools.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
+            size = np.concatenate(sizes)
             at = len(self.pool) + np.cumsum(size) - size
-            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(size.sum()))])
+            self.pool = np.concatenate(pools)
             into = place[lost]
             self.keys = np.insert(self.keys, into, hashes[lost])
             self.at = np.insert(self.at, into, at)
@@ -243,7 +252,7 @@ class Vocabulary:
     def encode_all(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a column."""
         out: list[np.ndarray] = []
-        for _, data, offsets in tv.text_slices(texts):
+        for _, data, offsets in tv.text_slices(texts, ENCODED_BYTES):
             raw = data.tobytes()
             if any(s.encode() in raw for s in self.special):
                 out += [self.encode_one(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

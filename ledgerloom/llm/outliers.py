@@ -153,7 +153,9 @@ def _statistics(c: Column) -> list[Column]:
 
 
 def _with_counts(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_counts", F.arrow_udf(text_counts, _COUNTS_TYPE)(docs["text"].cast("string")))
+    # Not told to be deterministic: else a filter on the counts has each text counted twice, in two workers at once.
+    counted = F.arrow_udf(text_counts, _COUNTS_TYPE).asNondeterministic()
+    return docs.withColumn("_counts", counted(docs["text"].cast("string")))
 
 
 GROUP = ["level", "lang", "source"]

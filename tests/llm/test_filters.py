@@ -180,6 +180,13 @@ def test_verdicts_match_brute_force_and_spare_clean_texts(spark):
     assert np.allclose(got, want, rtol=1e-6)
 
 
+def test_each_text_is_counted_once(spark):
+    """A filter on the counts had every text counted twice, in a second worker per task."""
+    docs = cases.table(spark, [(i, f"some words {i} " * 30, "en", "a") for i in range(40)])
+    plan = outliers.drop_rejected(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 def test_outliers_of_few_and_no_rows(spark):
     assert outliers.quality(cases.empty(spark)).collect() == []
     few = cases.table(spark, [(1, "word " * 10, "en", "a"), (2, " ".join(f"w{i}" for i in range(80)), None, None)])

@@ -1,6 +1,7 @@
 """Encoding, decoding and the token files against the tokenizers library."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -47,6 +48,25 @@ def test_a_full_cache_changes_nothing(monkeypatch, library):
         assert [i.tolist() for i in v.encode_all(pa.array(every))] == [library.encode(t, add_special_tokens=False).ids for t in every]
 
 
+def test_a_worker_starts_in_bounded_memory():
+    """The table of classes held lists of all letters, 50 MB and more, in every worker at once."""
+    want = bpe._classes()
+    tracemalloc.start()
+    try:
+        assert (bpe._classes.__wrapped__() == want).all()
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_small_slices_and_blocks_change_nothing(monkeypatch, library):
+    monkeypatch.setattr(bpe, "ENCODED_BYTES", 64)
+    monkeypatch.setattr(bpe, "TOLD", 3)
+    every = texts()
+    got = [i.tolist() for i in bpe.Vocabulary(PATH).encode_all(pa.array(every))]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in every]
+
+
 def test_ids_that_are_no_text_decode_like_the_library(library):
     v = bpe.Vocabulary(PATH)
     r = random.Random(8)
