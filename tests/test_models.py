@@ -162,6 +162,23 @@ def test_gradient_rounds_equal_a_plain_loop(cells, monkeypatch, local):
     assert np.mean([abs(got[k] - t) < 1e-6 for k, t in zip(table["row_key"], told)]) >= 0.98
 
 
+def test_gradient_rows_stay_in_their_blocks(cells, monkeypatch):
+    """A node's rows went to one task, which grew its subtree alone; now only sums per code leave a task."""
+
+    def refused(*args):
+        raise AssertionError("rows were dealt to nodes")
+
+    monkeypatch.setattr(fo, "_dealt", refused)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(bo, "TASK_ROWS", 100)
+    small = materialise(cells.orderBy("row_key").limit(300))
+    parted = bo.fit_gradient(small, ft.DEMAND.cats, ft.DEMAND.nums, 2, 3, 0.1)
+    whole = bo.fit_gradient(small.coalesce(1), ft.DEMAND.cats, ft.DEMAND.nums, 2, 3, 0.1)
+    told = {r.row_key: r.prediction for r in whole.predict(small).collect()}
+    assert {r.row_key: pytest.approx(r.prediction) for r in parted.predict(small).collect()} == told
+    assert all(t.top.splits and len(t.top.values) == len(t.top.splits) + 1 for t in parted.trees)
+
+
 def test_gradient_without_labels_or_differences(spark):
     empty = spark.createDataFrame([], "row_key string, c string, x double, label double")
     rows = spark.createDataFrame([("a", None, 1.0, 3.0), ("b", "u", None, 3.0), ("c", "u", 2.0, None)], "row_key string, c string, x double, label double")
