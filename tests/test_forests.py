@@ -196,3 +196,23 @@ def test_trees_dealt_and_scored_a_few_at_a_time_give_the_same_forest(spark, monk
     [lone] = [r.prediction for r in got if r.row_key == "odd"]
     [held] = [r.prediction for r in whole.predict(odd.where("row_key = 'odd'")).collect()]
     assert lone == pytest.approx(held, abs=1e-9)
+
+
+def test_the_order_by_mean_keeps_equal_means_by_code():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        node = np.sort(r.integers(0, 9, 60))
+        code = np.concatenate([np.arange(n) for n in np.unique(node, return_counts=True)[1]])
+        mean = r.integers(0, 4, 60).astype(float)
+        np.testing.assert_array_equal(fo._by_mean(node, code, mean), np.lexsort((code, mean, node)))
+
+
+def test_parted_rows_stand_left_before_right():
+    r = np.random.default_rng(4)
+    for n in (1, 7):
+        parent = np.sort(np.concatenate([np.arange(n), r.integers(0, n, 200)]))
+        goes = r.random(len(parent)) < 0.5
+        order, child = fo._parted(parent, goes, n)
+        want = np.argsort(2 * parent + ~goes, kind="stable")
+        np.testing.assert_array_equal(order, want)
+        np.testing.assert_array_equal(child, (2 * parent + ~goes)[want])
