@@ -266,3 +266,59 @@ def test_boosting_rounds_leave_no_tables_behind(spark, monkeypatch):
     written = sum(os.path.getsize(os.path.join(p, f)) for p in paths if os.path.isdir(p) for f in os.listdir(p) if f.endswith(".parquet"))
     assert len(paths) > 2 and written == 0
     assert model.predict(rows).where(F.col("prediction").isNull()).count() == 0
+
+
+@pytest.mark.parametrize("fit", ["gbt", "adaboost_r2"])
+def test_numbers_of_many_values_are_cut_at_every_value(cells, monkeypatch, fit):
+    """Beyond ``CODES`` values only their quantiles were told apart."""
+    small = materialise(cells.orderBy("row_key").limit(300))
+    whole = rg.CANDIDATES[fit](small, ft.DEMAND, TINY)
+    monkeypatch.setattr(fo, "CODES", 26)
+    monkeypatch.setattr(fo, "QUANTILES", 9)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 50)
+    binned = rg.CANDIDATES[fit](small, ft.DEMAND, TINY)
+    assert binned.coder.wide == (5,) and whole.coder.wide == ()
+    want = {r.row_key: r.prediction for r in whole.predict(small).collect()}
+    got = {r.row_key: r.prediction for r in binned.predict(small).collect()}
+    assert np.mean([abs(got[k] - want[k]) < 1e-6 for k in want]) >= 0.98
+    seen = {r[0] for r in small.select("avg_unit_price").collect()}
+    edges = set(binned.coder.values[0].tolist()) | {0.0}
+    cuts = [s[1] for t in binned.trees for s in t.top.splits.values() if s[0] == 5]
+    assert cuts and len(edges) <= 11 < len(seen)
+
+
+def test_bins_that_may_hold_the_best_cut_hold_it():
+    r = np.random.default_rng(5)
+    for turn in range(200):
+        x, w = np.sort(r.integers(0, 60, 80)).astype(float), r.integers(1, 4, 80).astype(float)
+        y = r.normal(0, 1, 80) * (r.random(80) < 0.3) + (x > r.integers(60)) * r.integers(3) + r.normal()
+        edges = np.unique(r.integers(0, 60, 6)).astype(float)
+        code = np.minimum(np.searchsorted(edges, x), len(edges) - 1)
+        n, s, up = (np.bincount(code, v, len(edges)) for v in (w, w * y, w * np.maximum(y, 0)))
+        mean, bins = s.sum() / n.sum(), np.flatnonzero(n)
+        n, s, up = n[bins], (s - n * mean)[bins], up[bins]
+        floor, bounds, before_n, before_s = fo.bin_bounds(n, s, up, mean, np.abs(y - mean).max())
+        values, wv, sv = fo.per_value(x, w, w * (y - mean))
+        wl, sl = np.cumsum(wv)[:-1], np.cumsum(sv)[:-1]
+        gains = sl * sl / wl + sl * sl / (w.sum() - wl)
+        at = np.searchsorted(bins, np.minimum(np.searchsorted(edges, values), len(edges) - 1))
+        assert floor <= gains.max() + 1e-9 and all(gains[i] <= bounds[at[i]] for i in range(len(gains)))
+        keep = np.flatnonzero(bounds >= floor * (1 - 2 * fo.TIE))
+        near = np.isin(at, np.append(keep, keep + 1))
+        found = fo.best_value(values[near], bins[at][near], wv[near], sv[near], bins[keep], before_n[keep], before_s[keep], w.sum())
+        k = int(np.argmax(gains >= gains.max() * (1 - fo.TIE)))
+        assert found[:2] == pytest.approx((gains.max(), (values[k] + values[k + 1]) / 2))
+        assert found[2:] == pytest.approx((sl[k] / wl[k], -sl[k] / (w.sum() - wl[k])))
+
+
+def test_adaboost_rows_stay_in_their_blocks(cells, monkeypatch):
+    """All rows of a node went to one task in each round; now only sums per code leave a task."""
+
+    def refused(*args):
+        raise AssertionError("rows were dealt to nodes")
+
+    monkeypatch.setattr(fo, "_dealt", refused)
+    monkeypatch.setattr(bo, "BLOCK_ROWS", 50)
+    monkeypatch.setattr(bo, "TASK_ROWS", 100)
+    small = materialise(cells.orderBy("row_key").limit(300))
+    assert len(bo.fit_adaboost(small, ft.DEMAND.cats, ft.DEMAND.nums, 3, 3).trees) == 3
