@@ -216,3 +216,34 @@ def test_parted_rows_stand_left_before_right():
         want = np.argsort(2 * parent + ~goes, kind="stable")
         np.testing.assert_array_equal(order, want)
         np.testing.assert_array_equal(child, (2 * parent + ~goes)[want])
+
+
+def test_every_value_is_told_apart_however_many_there_are(spark, monkeypatch):
+    """Beyond ``CODES`` values of a number only their quantiles were told apart, and rows between two of them were answered alike."""
+    _, raw, y = made(400)
+    df = frame(spark, raw, y)
+    monkeypatch.setattr(fo, "CODES", 20)
+    monkeypatch.setattr(fo, "QUANTILES", 9)
+    model = fo.fit_forest(df, CATS, NUMS, 3, seed=5, random_cuts=True)
+    got = {r.row_key: r.prediction for r in model.predict(df).collect()}
+    _, group = np.unique(raw, axis=0, return_inverse=True)
+    means = (np.bincount(group.ravel(), y) / np.bincount(group.ravel()))[group.ravel()]
+    np.testing.assert_allclose([got[f"k{i}"] for i in range(400)], means, atol=1e-9)
+
+
+@pytest.mark.parametrize("random_cuts", [False, True])
+def test_large_nodes_are_cut_at_any_value(spark, monkeypatch, random_cuts):
+    """Cuts of nodes beyond ``LOCAL_ROWS`` fell on the ends of ``BINS`` bins."""
+    _, raw, y = made(400)
+    df = frame(spark, raw, y)
+    whole = fo.fit_forest(df, CATS, NUMS, 3, seed=5, random_cuts=random_cuts)
+    want = {r.row_key: r.prediction for r in whole.predict(df).collect()}
+    monkeypatch.setattr(fo, "LOCAL_ROWS", 40)
+    monkeypatch.setattr(fo, "BINS", 4)
+    monkeypatch.setattr(fo, "GATHERED", 70)
+    cut = fo.fit_forest(df, CATS, NUMS, 3, seed=5, random_cuts=random_cuts)
+    assert all(len(t.splits) > 5 for t in cut.tops)
+    odd = spark.createDataFrame([("odd", "new", None, None, 1.05, 0.0)], df.schema)
+    got = {r.row_key: r.prediction for r in cut.predict(df.union(odd)).collect()}
+    assert sum(abs(got[k] - want[k]) < 1e-9 for k in want) >= 396
+    assert got["odd"] == pytest.approx([r.prediction for r in whole.predict(odd).collect()][0], abs=1e-9)

@@ -308,7 +308,7 @@ def test_bins_that_may_hold_the_best_cut_hold_it():
         found = fo.best_value(values[near], bins[at][near], wv[near], sv[near], bins[keep], before_n[keep], before_s[keep], w.sum())
         k = int(np.argmax(gains >= gains.max() * (1 - fo.TIE)))
         assert found[:2] == pytest.approx((gains.max(), (values[k] + values[k + 1]) / 2))
-        assert found[2:] == pytest.approx((sl[k] / wl[k], -sl[k] / (w.sum() - wl[k])))
+        assert found[2:] == pytest.approx((wl[k], sl[k] / wl[k], -sl[k] / (w.sum() - wl[k])))
 
 
 def test_adaboost_rows_stay_in_their_blocks(cells, monkeypatch):
