@@ -85,3 +85,30 @@ def test_boxes_are_chunked_only_beyond_what_a_task_holds(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_chunk_counts", watched)
     check(spark, rows(60, 8, prefix="p"), rows(3000, 9, spread=400), 5, max_boxes=1)
     assert [[r[1] for r in t.collect()] for t in told] == [[1], [1], [1]]
+
+
+@pytest.mark.parametrize("leaf", [4, 4096])
+def test_leaves_within_a_chunk(spark, monkeypatch, leaf):
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", leaf)
+    monkeypatch.setattr(neighbours, "_CELLS", 300)
+    refs = rows(400, 9) + [(f"h{i:04d}", "a", "u", 3.0, 1.0, float(i)) for i in range(60)]
+    check(spark, rows(90, 8, prefix="p") + [("unseen", "none", "u", 7.0, 1.0, 0.0), ("far", "a", "u", 1e6, -1e6, 0.0)], refs, 5)
+
+
+def test_a_probe_is_measured_against_few_references(monkeypatch):
+    """Every probe was measured in full against all references of its box."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 4_000
+    refs = pa.table({"ref_key": [f"r{i:05d}" for i in range(n)], "c": rng.choice(list("abc"), n), "x": rng.uniform(0, 1_000, n), "y": rng.uniform(0, 50, n), "label": np.zeros(n)})
+    probes = pa.table({"c": rng.choice(list("abc"), 500), "c_known": np.ones(500, bool), "x": rng.uniform(0, 1_000, 500), "y": rng.uniform(0, 50, 500)})
+    measured = []
+    whole, single = neighbours._Side.distances, neighbours._Side.pairs
+    monkeypatch.setattr(neighbours._Side, "distances", lambda self, r, f: measured.append(len(r) * len(f)) or whole(self, r, f))
+    monkeypatch.setattr(neighbours._Side, "pairs", lambda self, r, f: measured.append(len(r)) or single(self, r, f))
+    side = neighbours._Side(probes, refs, ["c"], ["x", "y"])
+    row, ref, d = side.nearest(5, None)
+    assert sum(measured) < 0.2 * n * 500
+    every = whole(side, np.arange(500), np.arange(n))
+    np.testing.assert_array_equal(ref[np.argsort(row, kind="stable")].reshape(500, 5), np.argsort(every, axis=1, kind="stable")[:, :5])
