@@ -68,3 +68,22 @@ def test_alike_rows_and_constant_labels(spark):
     assert [r.prediction for r in flat.predict(frame(spark, [[1.0], [9.0]], [0, 0])).collect()] == pytest.approx([4.0, 4.0])
     one = kn.fit_kernel(frame(spark, [[1.0]] * 5, [1.0, 2.0, 3.0, 3.0, 9.0]), GAMMA, COST, 8)
     assert one.predict(frame(spark, [[1.0]], [0])).first().prediction == pytest.approx(3.0, abs=kn.EPSILON + 1e-2)
+
+
+def test_a_full_step_that_helps_takes_one_pass(spark, curve, monkeypatch):
+    """Each step took a second pass for other lengths, and vectors were unpacked anew in every pass."""
+    x, y = curve
+    passes, packs = [], []
+    summed, packed = kn.summed, kn.packed
+    monkeypatch.setattr(kn, "summed", lambda blocks, width, work, rows: passes.append(rows) or summed(blocks, width, work, rows))
+    monkeypatch.setattr(kn, "packed", lambda train, width: packs.append(1) or packed(train, width))
+    model = kn.fit_kernel(frame(spark, x, y), GAMMA, COST, 64)
+    assert model.gap <= kn.GAP * model.objective
+    assert len(packs) == 1 and passes.count(1) < 0.34 * len(passes)
+
+
+def test_smoothed_losses_are_the_quadratic_piece_then_lines():
+    left, delta = np.linspace(-3, 3, 25)[:, None] * np.array([1.0, 0.2]), 0.7
+    over = np.maximum(np.abs(left) - kn.EPSILON, 0.0)
+    want = np.where(over < delta, over * over / (2 * delta), over - delta / 2).sum(axis=0)
+    np.testing.assert_allclose(kn._losses(left.copy(), delta), want)
